@@ -59,7 +59,7 @@ def stored(frame: DataFrame, label: str, partition_by: tuple[str, ...] = ()) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path).select(*frame.columns)
 
 
 def texts_as_bytes(column: pa.Array) -> list[bytes]:

@@ -88,6 +88,11 @@ def encode(text: bytes) -> np.ndarray:
     return out
 
 
+def rounded(features: np.ndarray) -> np.ndarray:
+    """Features in steps of 1/255, as training sees them."""
+    return np.round(features * 255).clip(0, 255).astype(np.float32) / 255
+
+
 @dataclass
 class Model:
     """Encoder, attention and output weights."""
@@ -213,12 +218,30 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            s = [0.5 if m is None else m.score(np.round(encode(x) * 255).clip(0, 255).astype(np.float32) / 255)[0] for x in texts_as_bytes(batch.column(1))]
+            s = [0.5 if m is None else m.score(rounded(encode(x)))[0] for x in texts_as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
     out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scored, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, whose text scores ``threshold`` or more.
+
+    Without a model nothing is known against a document, and all rows stay.
+    """
+    if model is None:
+        return docs
+    spark = prepare(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([shared.value.score(rounded(encode(x)))[0] >= threshold for x in texts_as_bytes(batch.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out_of(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT

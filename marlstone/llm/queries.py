@@ -37,6 +37,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -56,6 +62,13 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_columns(secret_spans(_table(spark, sf_dir, "documents")))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    found = remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -67,13 +80,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_neardup": op3_neardup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_ann": op5_ann,
     "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
     "op8_secrets": op8_secrets,
+    "op9_repeats": op9_repeats,
     "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_ann": """
+        WITH v AS (
+          SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+          WHERE embedding IS NOT NULL AND list_aggregate(list_transform(embedding, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END), 'sum') = 0
+            AND list_aggregate(list_transform(embedding, lambda x: CASE WHEN x <> 0 THEN 1 ELSE 0 END), 'sum') > 0),
+        s AS (
+          SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+          FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+    """,
     "op3_neardup": r"""
         WITH RECURSIVE w AS (
           SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
