@@ -68,7 +68,7 @@ TABLES: dict[str, dict[str, Column]] = {
 }
 
 #: Personal columns of the warehouse that no view exposes.
-PERSONAL = {"users": frozenset({"name", "first_name", "last_name", "email", "street_address", "postal_code", "latitude", "longitude", "c_name"})}
+PERSONAL = {"users": frozenset({"first_name", "last_name", "email", "street_address", "postal_code", "latitude", "longitude", "user_geom", "c_name"})}
 RETURNED = "Returned"
 
 
