@@ -6,6 +6,6 @@ from ..registry import REGISTERED, Registered
 
 
 def all_queries() -> list[Registered]:
-    from . import business, relational  # noqa: F401
+    from . import business, figures, governed, relational, scalars, search, telemetry  # noqa: F401
 
     return list(REGISTERED.values())

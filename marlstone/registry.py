@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .workers import importable
+
 Run = Callable[[SparkSession, str], DataFrame]
 
 
@@ -34,4 +36,5 @@ def query(name: str, ids: str, oracle: str | None = None) -> Callable[[Run], Run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -11,7 +11,7 @@ from marlstone.scope import Scope, ScopeRefused, scoped_views, unknown_brands
 from marlstone.session import GovernedSession, estimate, names, safe
 
 REFUSED = [
-    ("", "sql_syntax"), ("SELECT brand FROM FROM products", "sql_syntax"), ("SELECT 1 AS " + "x" * 9000, "sql_too_long"), ("SELECT 1; SELECT 2", "multiple_statements"),
+    ("", "sql_syntax"), ("SELECT brand,, size FROM products", "sql_syntax"), ("SELECT 1 AS " + "x" * 9000, "sql_too_long"), ("SELECT 1; SELECT 2", "multiple_statements"),
     ("DELETE FROM users", "statement_not_allowed"), ("INSERT INTO users SELECT 1", "statement_not_allowed"), ("(SELECT 1)", "statement_not_allowed"),
     ("WITH RECURSIVE x AS (SELECT 1 AS a) SELECT a FROM x", "recursive_cte"), ("WITH users AS (SELECT 1 AS a) SELECT a FROM users", "cte_shadows_table"),
     ("WITH __p AS (SELECT 1 AS a) SELECT a FROM __p", "cte_shadows_table"), ("SELECT a FROM other.users", "source_not_allowed"), ("SELECT x FROM range(5)", "source_not_allowed"),
