@@ -59,7 +59,7 @@ def scrub(text: str) -> Scrubbed:
     cut = len(text) > MOST_CHARS
     if cut:
         text = text[:MOST_CHARS].rsplit(None, 1)[0]
-    if not any(c.isdigit() for c in text) and "@" not in text and "at" not in text:
+    if text.isascii() and not any(c.isdigit() for c in text) and "@" not in text and "at" not in text:
         return Scrubbed(text, {}, cut)
     out, found = fold(text), Counter()
     for code, char in ENCODED.items():

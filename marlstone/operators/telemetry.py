@@ -206,3 +206,24 @@ def judge_agreement(spark: SparkSession, sf: str) -> DataFrame:
 def expectation_checks(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
     return table(spark, sf, "documents").where("text is not null").select("doc_id", (t.contains("the") | t.contains("de")).alias("must_contain"), (~t.contains("@")).alias("must_not_contain"))
+
+
+@query("injection_scan", "GRD-x")
+def injection_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Rule codes of conversation texts; no oracle, the scan folds Unicode."""
+    from ..guards import injection_code
+
+    return table(spark, sf, "conversations").where("text is not null").select(injection_code("text").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("stream_usage", "STM-1 STM-6", "SELECT user_id, date_trunc('hour', ts)::TIMESTAMPTZ AS win, count(*) AS used FROM events GROUP BY 1, 2")
+def stream_usage(spark: SparkSession, sf: str) -> DataFrame:
+    """The stream twin of quota_hourly, run to the end of what is there."""
+    import tempfile
+    import uuid
+
+    from ..streaming import quotas
+
+    base = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='marlstone-stream-')}").rstrip("/") + f"/usage-{uuid.uuid4().hex}"
+    quotas.run_complete(quotas.usage(quotas.read_events(spark, sf)), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out")
