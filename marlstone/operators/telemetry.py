@@ -216,7 +216,7 @@ def injection_scan(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").where("text is not null").select(injection_code("text").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 
-@query("stream_usage", "STM-1 STM-6", "SELECT user_id, date_trunc('hour', ts)::TIMESTAMPTZ AS win, count(*) AS used FROM events GROUP BY 1, 2")
+@query("stream_usage", "STM-1 STM-6", "SELECT user_id, date_trunc('hour', ts)::TIMESTAMP AS win, count(*) AS used FROM events GROUP BY 1, 2")
 def stream_usage(spark: SparkSession, sf: str) -> DataFrame:
     """The stream twin of quota_hourly, run to the end of what is there."""
     import tempfile
@@ -226,4 +226,4 @@ def stream_usage(spark: SparkSession, sf: str) -> DataFrame:
 
     base = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='marlstone-stream-')}").rstrip("/") + f"/usage-{uuid.uuid4().hex}"
     quotas.run_complete(quotas.usage(quotas.read_events(spark, sf)), f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out").withColumn("win", F.col("win").cast("timestamp_ntz"))
