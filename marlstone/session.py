@@ -26,7 +26,7 @@ FAILURES = 3
 #: Always the same, so it never tells whether a group was hidden.
 NOTE = "Groups with fewer than {k} customers are hidden."
 
-ERRORS = {"DIVIDE_BY_ZERO": "BAD_ARITHMETIC", "ARITHMETIC_OVERFLOW": "BAD_ARITHMETIC", "CAST_INVALID_INPUT": "BAD_CAST", "PARSE_SYNTAX_ERROR": "SQL_SYNTAX"}
+ERRORS = {"DIVIDE_BY_ZERO": "BAD_ARITHMETIC", "ARITHMETIC_OVERFLOW": "BAD_ARITHMETIC", "CAST_INVALID_INPUT": "BAD_CAST", "PARSE_SYNTAX_ERROR": "SQL_SYNTAX", "UNRESOLVED_COLUMN": "UNKNOWN_COLUMN", "TABLE_OR_VIEW_NOT_FOUND": "SOURCE"}
 
 
 @dataclass
@@ -58,6 +58,7 @@ class GovernedSession:
     store: Store = field(default_factory=Store)
     budget: Budget = field(default_factory=Budget)
     aggregate_only: bool = False
+    deadline: float = 60.0
 
     def __post_init__(self) -> None:
         if not 2 <= self.k <= 1000:
@@ -67,6 +68,7 @@ class GovernedSession:
         self.memo: OrderedDict[str, tuple] = OrderedDict()
         self.turn: set[str] = set()
         self.failures = 0
+        self.tag = "marlstone-" + hashlib.sha256(f"{self.user}{id(self)}".encode()).hexdigest()[:16]
         self.lock = threading.Lock()
 
     def new_turn(self) -> None:
@@ -96,6 +98,10 @@ class GovernedSession:
             raise policy.Refused("small_cell_unplaceable")
         return self.bound.sql(plain)
 
+    def cancel(self) -> None:
+        """Stop the statement that runs, from any thread."""
+        self.bound.interruptTag(self.tag)
+
     def run_sql(self, sql: str, purpose: str = "") -> dict[str, Any]:
         """{ok, data, meta} or {ok: false, error}; one statement at a time."""
         if not self.lock.acquire(timeout=1):
@@ -130,7 +136,7 @@ class GovernedSession:
             refused = self.budget.reserve(estimate(frame))
             if refused:
                 return self._failed(refused)
-            columns, rows = frame.columns, [tuple(r) for r in frame.limit(ROW_CAP + 1).collect()]
+            columns, rows = frame.columns, self._collected(frame)
             self.memo[key] = (columns, rows)
             if len(self.memo) > MEMO:
                 self.memo.popitem(last=False)
@@ -144,6 +150,17 @@ class GovernedSession:
         data = [{c: safe(v) for c, v in zip(names(columns), r, strict=True)} for r in rows[:ROW_CAP]]
         return {"ok": True, "data": data, "meta": {"columns": names(columns), "rows": len(data), "truncated": truncated, "note": NOTE.format(k=self.k) if decision.facts.uses_qi else "", "tables": sorted(decision.facts.tables)}}
 
+    def _collected(self, frame: DataFrame) -> list[tuple]:
+        """One row beyond the cap, under a deadline that cancels the job."""
+        self.bound.addTag(self.tag)
+        timer = threading.Timer(self.deadline, self.cancel)
+        timer.start()
+        try:
+            return [tuple(r) for r in frame.limit(ROW_CAP + 1).collect()]
+        finally:
+            timer.cancel()
+            self.bound.removeTag(self.tag)
+
     def _fingerprint(self, facts: policy.Facts, columns: list[str], rows: list[tuple], truncated: bool) -> Fingerprint:
         shown = [d for d, _ in facts.dims]
         cells, sizes = {}, {}
