@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,19 +21,21 @@ def with_product(items: DataFrame, spark: SparkSession, sf_dir: str) -> DataFram
     return items.join(products(spark, sf_dir).withColumnRenamed("id", "p_id"), F.col("product_id") == F.col("p_id"))
 
 
-def money(column: str | F.Column) -> F.Column:
-    return F.round(F.sum(column), 2)
+def money(column: str | Column) -> Column:
+    """Sum of amounts, exact to the hundredth: prices times discounts have four decimals."""
+    amount = F.col(column) if isinstance(column, str) else column
+    return F.round(F.sum(amount.cast("decimal(18,4)")), 2).cast("double")
 
 
 @query("top_categories_by_revenue", "SRC-1 JOIN-1 AGG-4 SRT-1 SRT-2 FIG-14", shop_sql("""
-    SELECT category, round(sum(sale_price), 2) AS revenue FROM order_items JOIN products ON product_id = id
+    SELECT category, round(sum(sale_price::DECIMAL(18,4)), 2)::DOUBLE AS revenue FROM order_items JOIN products ON product_id = id
     WHERE status <> 'Returned' GROUP BY category ORDER BY revenue DESC, category LIMIT 5"""))
 def top_categories_by_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_product(sold(spark, sf_dir), spark, sf_dir).groupBy("category").agg(money("sale_price").alias("revenue")).orderBy(F.desc("revenue"), "category").limit(5)
 
 
 @query("monthly_revenue_trend", "DT-2 AGG-4", shop_sql("""
-    SELECT date_trunc('month', created_at)::DATE AS month, round(sum(sale_price), 2) AS revenue FROM order_items WHERE status <> 'Returned' GROUP BY 1"""))
+    SELECT date_trunc('month', created_at)::DATE AS month, round(sum(sale_price::DECIMAL(18,4)), 2)::DOUBLE AS revenue FROM order_items WHERE status <> 'Returned' GROUP BY 1"""))
 def monthly_revenue_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sold(spark, sf_dir).groupBy(F.trunc("created_at", "MM").alias("month")).agg(money("sale_price").alias("revenue"))
 
@@ -67,7 +69,7 @@ def delivery_days_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("gross_margin_by_brand", "PRJ-3 SRT-2", shop_sql("""
-    SELECT brand, round(sum(sale_price - cost), 2) AS margin FROM order_items JOIN products ON product_id = id
+    SELECT brand, round(sum((sale_price - cost)::DECIMAL(18,4)), 2)::DOUBLE AS margin FROM order_items JOIN products ON product_id = id
     WHERE status <> 'Returned' GROUP BY brand ORDER BY margin DESC, brand LIMIT 10"""))
 def gross_margin_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_product(sold(spark, sf_dir), spark, sf_dir).groupBy("brand").agg(money(F.col("sale_price") - F.col("cost")).alias("margin")).orderBy(F.desc("margin"), "brand").limit(10)
@@ -81,7 +83,7 @@ def brand_monthly_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("brand_category_split", "FLT-3", shop_sql("""
-    SELECT brand, category, count(*) AS n, round(sum(sale_price), 2) AS revenue FROM order_items JOIN products ON product_id = id
+    SELECT brand, category, count(*) AS n, round(sum(sale_price::DECIMAL(18,4)), 2)::DOUBLE AS revenue FROM order_items JOIN products ON product_id = id
     WHERE brand IN ('Brand#1', 'Brand#2') AND status <> 'Returned' GROUP BY brand, category"""))
 def brand_category_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     mine = with_product(sold(spark, sf_dir), spark, sf_dir).where(F.col("brand").isin(*BRANDS))

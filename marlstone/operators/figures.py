@@ -94,7 +94,7 @@ def derived(series: DataFrame, order: str, value: str) -> DataFrame:
     )
 
 
-_MONTHLY = "SELECT date_trunc('month', created_at)::DATE AS month, round(sum(sale_price), 2) AS revenue FROM order_items WHERE status <> 'Returned' GROUP BY 1"
+_MONTHLY = "SELECT date_trunc('month', created_at)::DATE AS month, round(sum(sale_price::DECIMAL(18,4)), 2)::DOUBLE AS revenue FROM order_items WHERE status <> 'Returned' GROUP BY 1"
 
 
 @query("figures_totals_shares_growth", "FIG-4 FIG-5 FIG-6 FIG-7 AGG-23", shop_sql(f"""
@@ -110,7 +110,7 @@ def figures_totals_shares_growth(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("figures_long_form", "FIG-1 FIG-2 DM-13", shop_sql("""
     SELECT category, unnest(['n', 'revenue']) AS "column", unnest([n, revenue]) AS value FROM
-      (SELECT category, count(*)::DOUBLE AS n, round(sum(sale_price), 2) AS revenue FROM order_items JOIN products ON product_id = id GROUP BY 1)"""))
+      (SELECT category, count(*)::DOUBLE AS n, round(sum(sale_price::DECIMAL(18,4)), 2)::DOUBLE AS revenue FROM order_items JOIN products ON product_id = id GROUP BY 1)"""))
 def figures_long_form(spark: SparkSession, sf: str) -> DataFrame:
     from .business import order_items, with_product
 

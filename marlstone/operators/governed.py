@@ -11,6 +11,7 @@ from ..functions.pii import scrubbed
 from ..plans import rewrite
 from ..registry import query, table
 from ..scope import Scope, bind, scoped_views, unknown_brands
+from .business import money
 
 SCOPE = Scope(("Brand#1", "Brand#2"))
 K = 5
@@ -28,9 +29,9 @@ def scoped_products(spark: SparkSession, sf: str) -> DataFrame:
     return scoped_views(spark, sf, SCOPE)["products"].select("id", "brand", "category")
 
 
-@query("scoped_items", "GOV-1 JOIN-9", scoped_sql("SELECT status, count(*) AS n, round(sum(sale_price), 2) AS revenue FROM si GROUP BY 1"))
+@query("scoped_items", "GOV-1 JOIN-9", scoped_sql("SELECT status, count(*) AS n, round(sum(sale_price::DECIMAL(18,4)), 2)::DOUBLE AS revenue FROM si GROUP BY 1"))
 def scoped_items(spark: SparkSession, sf: str) -> DataFrame:
-    return scoped_views(spark, sf, SCOPE)["order_items"].groupBy("status").agg(F.count("*").alias("n"), F.round(F.sum("sale_price"), 2).alias("revenue"))
+    return scoped_views(spark, sf, SCOPE)["order_items"].groupBy("status").agg(F.count("*").alias("n"), money("sale_price").alias("revenue"))
 
 
 @query("scoped_orders", "GOV-1 JOIN-9", scoped_sql("SELECT status, count(*) AS n FROM so GROUP BY 1"))
@@ -79,12 +80,12 @@ def instrumented_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _BANDS = "CASE WHEN spend >= 2500000 THEN 'a 2.5M and more' WHEN spend >= 2000000 THEN 'b 2M to 2.5M' WHEN spend >= 1000000 THEN 'c 1M to 2M' ELSE 'd under 1M' END"
-_SPEND = f"SELECT {_BANDS} AS band, count(*) AS customers, round(sum(spend), 2) AS revenue FROM (SELECT user_id, sum(sale_price) AS spend FROM order_items GROUP BY 1) GROUP BY 1"
+_SPEND = f"SELECT {_BANDS} AS band, count(*) AS customers, round(sum(spend::DECIMAL(18,4)), 2)::DOUBLE AS revenue FROM (SELECT user_id, sum(sale_price) AS spend FROM order_items GROUP BY 1) GROUP BY 1"
 
 
 def bands(spark: SparkSession, sf: str) -> DataFrame:
     spend = VIEWS["order_items"](spark, sf).groupBy("user_id").agg(F.sum("sale_price").alias("spend"))
-    return spend.groupBy(F.expr(_BANDS).alias("band")).agg(F.count("*").alias("customers"), F.round(F.sum("spend"), 2).alias("revenue"))
+    return spend.groupBy(F.expr(_BANDS).alias("band")).agg(F.count("*").alias("customers"), money("spend").alias("revenue"))
 
 
 @query("spend_bands", "FLT-9 POL-24", shop_sql(_SPEND))
@@ -103,9 +104,11 @@ def spend_bands_merged(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("spend_bands_masked", "GOV-21", shop_sql(f"""
-    WITH b AS ({_SPEND}), s AS (SELECT *, bool_or(customers < 40) OVER () AS any_small, sum(customers) OVER () AS everyone FROM b)
-    SELECT band, customers, CASE WHEN NOT any_small THEN round(customers / everyone, 6)::DOUBLE END AS share FROM s WHERE customers >= 40
-    UNION ALL SELECT 'other bands', sum(customers)::BIGINT, NULL FROM s WHERE customers < 40 HAVING sum(customers) >= 40"""))
+    WITH b AS ({_SPEND}), t AS (SELECT *, round(customers / sum(customers) OVER (), 6)::DOUBLE AS part, sum(customers) FILTER (customers < 40) OVER () AS total,
+      row_number() OVER (PARTITION BY customers < 40 ORDER BY customers, band) AS place FROM b),
+    m AS (SELECT *, customers < 40 OR coalesce(total < 40 AND place = 1, false) AS merged FROM t)
+    SELECT band, customers, CASE WHEN total IS NULL THEN part END AS share FROM m WHERE NOT merged
+    UNION ALL SELECT 'other bands', sum(customers)::BIGINT, NULL FROM m WHERE merged HAVING sum(customers) >= 40"""))
 def spend_bands_masked(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window as W
 
