@@ -23,11 +23,45 @@ CARD = re.compile(r"(?<![0-9-])(?:[0-9][ -]?){12,18}[0-9](?![0-9-])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 INTERNATIONAL = re.compile(r"\+[0-9][0-9 ().-]{5,18}[0-9](?:\s?(?:ext|x)\.?\s?[0-9]{1,5})?")
 NANP = re.compile(r"(?<![0-9-])(?:\([2-9][0-9]{2}\)\s?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?:\s?(?:ext|x)\.?\s?[0-9]{1,5})?(?![0-9-])")
+#: Addresses and names have no checksum: only shapes and cue words, never bare words.
+ADDRESS = re.compile(
+    r"\b[0-9]{1,5}[A-Za-z]?\s+(?!(?:of|the|in|and|or|for|per|to|from|units?|orders?|items?|customers?|days?|months?)\b)(?:[A-Z][\w.'-]*\s+){1,4}"
+    r"(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Way|Place|Pl|Square|Sq)\b\.?(?:,?\s*(?:Apt|Suite|Unit|#)\.?\s*\w+)?(?:,\s*[A-Z][\w ]+,?\s*[A-Z]{2}\s*[0-9]{5}(?:-[0-9]{4})?)?"
+)
+PO_BOX = re.compile(r"\bP\.?\s?O\.?\s?Box\s+[0-9]+\b", re.I)
+ADDRESS_CUE = re.compile(r"\b((?:home|street|mailing|shipping|billing)?\s?address\s*[:=]\s*)([^\n;|]{6,80})", re.I)
+NAME = r"[A-Z][a-z'’-]+(?:\s+[A-Z][a-z'’-]+){0,2}"
+NAME_CUES = (
+    re.compile(rf"\b((?:Mr|Mrs|Ms|Miss|Dr|Prof)\.?\s+)({NAME})"), re.compile(rf"\b((?:[Mm]y name is|I am called|[Tt]his is)\s+)({NAME})"),
+    re.compile(rf"((?:\b[Nn]ame|\b[Cc]ustomer|\b[Cc]ontact)\s*:\s*)({NAME})"), re.compile(rf"(^(?:Dear|Hi|Hello)\s+)({NAME})", re.M),
+)
 SECRET = re.compile(r"(?i)\b(?:api[_-]?key|token|secret|password)\b\s*[:=]\s*\S+|\bBearer\s+\S+|\bsk-[A-Za-z0-9]{16,}")
 SENSITIVE = ("key", "token", "secret", "password", "authorization", "credential")
 ENCODED = {"%40": "@", "&#64;": "@", "&commat;": "@", "%2e": ".", "%2E": ".", "&#46;": "."}
 
 
+def mask_people(text: str, allowed: frozenset[str] = frozenset()) -> str:
+    """Names and addresses by cue; words of the allowlist (brands, categories) stay."""
+    text = PO_BOX.sub("<ADDRESS>", ADDRESS.sub("<ADDRESS>", text))
+    text = ADDRESS_CUE.sub(lambda m: m[0] if "<ADDRESS>" in m[2] else m[1] + "<ADDRESS>", text)
+    for cue in NAME_CUES:
+        text = cue.sub(lambda m: m[0] if m[2].lower() in allowed else m[1] + "<PERSON>", text)
+    return text
+
+
+def mask_name_columns(lines: list[str], sep: str = "|") -> list[str]:
+    """Every cell below a name-like header of a table in text."""
+    if not lines:
+        return lines
+    heads = [h.strip().lower() for h in lines[0].split(sep)]
+    at = {i for i, h in enumerate(heads) if re.fullmatch(r"(?:first|last|full|customer|contact)?[ _]?name|customer|person", h)}
+    out = [lines[0]]
+    for line in lines[1:]:
+        cells = line.split(sep)
+        out.append(sep.join("<PERSON>" if i in at and c.strip() and not re.fullmatch(r"[\s:-]+", c) else c for i, c in enumerate(cells)))
+    return out
+
+
 @dataclass
 class Scrubbed:
     text: str

@@ -150,3 +150,15 @@ def test_stream_equals_batch_and_appends_closed_windows(spark, sf_dir, tmp_path)
     assert 0 < closed.count() <= batch.count() and closed.join(batch, ["user_id", "win", "used"], "left_anti").count() == 0
     quotas.run_to_table(quotas.deduplicated(events), f"{tmp_path}/once", f"{tmp_path}/c3").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/once").count() == spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id").distinct().count()
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("ship to 12 Old Mill Road, Apt 4", "ship to <ADDRESS>"), ("P.O. Box 123", "<ADDRESS>"), ("address: Gasse 5, Wien", "address: <ADDRESS>"), ("Dr. Ann Lee called", "Dr. <PERSON> called"),
+    ("my name is Ann Lee", "my name is <PERSON>"), ("Name: Bob", "Name: <PERSON>"), ("Customer: Acme", "Customer: Acme"), ("5 orders in Main Street brands", "5 orders in Main Street brands"), ("Revenue rose in May", "Revenue rose in May"),
+])
+def test_people_by_cue(text, want):
+    assert pii.mask_people(text, frozenset({"acme"})) == want
+
+
+def test_name_columns():
+    assert pii.mask_name_columns(["id|name|n", "--|--|--", "1|Ann|3", "2||4"]) == ["id|name|n", "--|--|--", "1|<PERSON>|3", "2||4"]
