@@ -75,6 +75,15 @@ def bm25_search(spark: SparkSession, sf: str) -> DataFrame:
     return bm25(docs, TERMS, {"body": 1.0}).select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
 
 
+@query("stemmed_index", "TXT-5 TXT-7 DM-11")
+def stemmed_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The inverted index of stemmed terms: documents and occurrences by term.  No oracle: SQL has no stemmer."""
+    from ..functions.stem import stemmed
+
+    words = table(spark, sf, "benchmark").where("text is not null").select("item_id", F.explode(stemmed("text")).alias("term"))
+    return words.groupBy("term").agg(F.count_distinct("item_id").alias("documents"), F.count("*").alias("occurrences"))
+
+
 @query("substring_search", "TXT-2 TXT-3 SCH-1", "SELECT doc_id FROM documents WHERE contains(lower(text), 'tion of the') ORDER BY doc_id DESC LIMIT 50")
 def substring_search(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where(F.lower("text").contains("tion of the")).select("doc_id").orderBy(F.desc("doc_id")).limit(50)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone import guards, reports
-from marlstone.functions import pii
+from marlstone.functions import pii, stem
 from marlstone.operators import figures
 from marlstone.sources import export, seeds, traces
 from marlstone.sources.store import Store, StoreError
@@ -162,3 +162,14 @@ def test_people_by_cue(text, want):
 
 def test_name_columns():
     assert pii.mask_name_columns(["id|name|n", "--|--|--", "1|Ann|3", "2||4"]) == ["id|name|n", "--|--|--", "1|<PERSON>|3", "2||4"]
+
+
+def test_stems_of_published_examples():
+    pairs = (
+        "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop "
+        "falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit valenci valenc digitizer digit operator oper feudalism feudal "
+        "triplicate triplic formative form formalize formal electrical electr hopeful hope goodness good revival reviv allowance allow inference infer adjustable adjust replacement replac "
+        "adoption adopt activate activ effective effect probate probat rate rate cease ceas controll control roll roll"
+    ).split()
+    assert [stem.stem(w) for w in pairs[::2]] == pairs[1::2]
+    assert stem.terms("Café sales, RELATIONAL_data") == ["cafe", "sale", "relat", "data"]
