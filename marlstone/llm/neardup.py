@@ -8,10 +8,14 @@
    occupied bin in a random order of its own, the same for every document.
 3. ``BANDS`` bands of ``ROWS`` bins are hashed into bucket keys.  In a bucket
    every node is paired with the bucket's smallest node only: a star, so pairs
-   grow with the rows of a bucket, not with their square.  Nodes that a star
-   leaves unlinked are put into buckets again, each under two bands at once.
+   grow with the rows of a bucket, not with their square.  A second set of
+   buckets takes two bands at once.
 4. Pairs are confirmed on the full sets, and the links contracted to
    components by alternating large and small stars.
+5. A text may be similar to members of a bucket but not to its centre.  So where
+   a bucket still spans several components, new stars are drawn in it, centred
+   on nodes of its smallest components and leading to the other components only,
+   round after round, until two rounds in a row link nothing.
 
 At similarity 0.85 a pair misses all bands with probability
 (1 - 0.85 ** 6) ** 40, under 1e-8.  Buckets are joined, never gathered, so a
@@ -29,14 +33,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stored, texts_as_bytes
+from .common import prepare, stored, texts_as_bytes, worker_cache
 
 WORDS = 5
 ROWS, BANDS = 6, 40
 BINS = ROWS * BANDS
 #: A link: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 85
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
+#: New centres per bucket and round, and rounds without a link that end the search.
+CENTRES, IDLE = 4, 2
 SEED = 11
 
 _U = np.uint64
@@ -67,15 +73,13 @@ class WordHashes(dict):
         return h
 
 
-_WORDS = WordHashes()
-
 
 def shingles(text: bytes) -> np.ndarray:
     """Sorted distinct shingle hashes of a whole text."""
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(worker_cache("words", WordHashes).__getitem__, words), np.uint64, len(words))
     n = max(1, len(words) - WORDS + 1)
     total = np.full(n, len(words) if len(words) < WORDS else WORDS, np.uint64)
     for i in range(min(WORDS, len(words))):
@@ -154,10 +158,26 @@ def bucket_rows(nodes: DataFrame, pairs_of_bands: bool = False) -> DataFrame:
     return nodes.select("node", "bands").mapInArrow(explode, "node long, key long")
 
 
-def stars(buckets: DataFrame) -> DataFrame:
-    """a < b: every node of a bucket paired with the bucket's smallest."""
-    centres = buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("key", "a")
-    return buckets.join(centres, "key").where("node > a").select("a", F.col("node").alias("b")).distinct()
+def crowded(buckets: DataFrame) -> DataFrame:
+    """key, node, a (the bucket's smallest node), n: buckets of two nodes or more."""
+    centres = buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last"), F.count("*").alias("n")).where("a < last").drop("last")
+    return buckets.join(centres, "key").select("key", "node", "a", "n")
+
+
+def next_stars(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """a < b: new stars in buckets that span components; ends are in different ones.
+
+    members: key, node.  Of each bucket up to CENTRES nodes of the components
+    with the fewest members there are centres, drawn anew by hash every turn.
+    """
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    drawn = [F.min(F.struct(F.xxhash64(F.lit(turn * CENTRES + i), "node").alias("h"), "node")).alias(f"c{i}") for i in range(CENTRES)]
+    shares = placed.groupBy("key", "root").agg(F.count("*").alias("n"), *drawn)
+    best = [F.min(F.struct("n", F.col(f"c{i}.h"), F.col(f"c{i}.node").alias("node"), F.col("root"))).alias(f"c{i}") for i in range(CENTRES)]
+    mixed_keys = shares.groupBy("key").agg(F.count("*").alias("parts"), *best).where("parts > 1")
+    centres = mixed_keys.select("key", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"c{i}.node").alias("centre"), F.col(f"c{i}.root").alias("centre_root")) for i in range(CENTRES))))).alias("c"))
+    met = placed.join(centres.select("key", "c.*"), "key").where(F.col("root") != F.col("centre_root"))
+    return met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
 def confirmed(pairs: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
@@ -219,9 +239,26 @@ def near_dedup(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     rows = profiled(docs)
     sets = stored(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first_id")), "near-sets")
     nodes = stored(rows.select(F.col("rid").alias("node"), "bands").join(sets.select("node"), "node", "left_semi"), "near-nodes")
-    pairs = stored(stars(bucket_rows(nodes)).union(stars(bucket_rows(nodes, pairs_of_bands=True))).distinct(), "near-stars")
-    links = confirmed(pairs, rows, similarity).where("linked")
+    members = stored(crowded(bucket_rows(nodes)).union(crowded(bucket_rows(nodes, pairs_of_bands=True))), "near-buckets")
+    pairs = members.where("node > a").select("a", F.col("node").alias("b")).distinct()
+    tested = confirmed(pairs, rows, similarity)
+    links = tested.where("linked").select("a", "b")
     roots = components(links)
+    members, turn, idle = members.where("n > 2").select("key", "node"), 0, 0
+    while idle < IDLE:
+        turn += 1
+        pairs = next_stars(members, roots, turn).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        fresh = confirmed(pairs, rows, similarity)
+        if not fresh.take(1):
+            break
+        tested = tested.unionByName(fresh)
+        found = fresh.where("linked").select("a", "b")
+        if found.take(1):
+            idle = 0
+            links = roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a < b").unionByName(found)
+            roots = components(links)
+        else:
+            idle += 1
     of_set = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = of_set.join(of_set.groupBy("root").agg(F.min("first_id").alias("component")), "root").select("s1", "s2", "component", F.lit(True).alias("known"))
     out = rows.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
