@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in an Arrow batch handed to Python.  Whole texts travel in these
-#: batches, so the number bounds a worker's memory by 256 long texts.
-ARROW_ROWS = 256
+#: batches, so the number bounds a worker's memory by 64 long texts.
+ARROW_ROWS = 64
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -22,7 +22,11 @@ def prepare(spark: SparkSession) -> SparkSession:
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if home not in known.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = ":".join(x for x in (home, known) if x)
+    # Workers live on between stages: what they free should go back to the system.
+    spark.sparkContext.environment.update(ARROW_DEFAULT_MEMORY_POOL="system", MALLOC_ARENA_MAX="1", MALLOC_TRIM_THRESHOLD_="131072")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    # What a finished step has shuffled is not read again: stored() keeps its result.
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 
@@ -59,7 +63,28 @@ def stored(frame: DataFrame, label: str, partition_by: tuple[str, ...] = ()) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path).select(*frame.columns)
+    read = spark.read.schema(frame.schema).parquet(path).select(*frame.columns)
+    read.stored_at = path
+    return read
+
+
+def discard(frame: DataFrame, part: str = "") -> None:
+    """Remove a stored table, or one of its partitions, that nothing reads any more."""
+    spark = frame.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{frame.stored_at}/{part}" if part else frame.stored_at)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_CACHE: dict = {}
+
+
+def worker_cache(name: str, make: Callable):
+    """A cache that lives as long as the Python worker, or until another is asked
+    for: a worker that serves several operators holds one of them at a time."""
+    if name not in _CACHE:
+        _CACHE.clear()
+        _CACHE[name] = make()
+    return _CACHE[name]
 
 
 def texts_as_bytes(column: pa.Array) -> list[bytes]:

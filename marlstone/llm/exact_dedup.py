@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +32,9 @@ MAX_DEPTH = 16
 #: Entries a bucket holds before it splits.
 CAPACITY = 1024
 #: Bytes of text that a map task holds to combine copies before it sends them.
-COMBINE_BYTES = 48 << 20
+COMBINE_BYTES = 24 << 20
 
-ENTRY_SCHEMA = "key long, sha binary, keep_id long, size long, body binary"
+ENTRY_SCHEMA = "bucket int, key long, sha binary, keep_id long, size long, body binary"
 GROUP_SCHEMA = "bucket int, key long, chain int, sha binary, keep_id long, group_size long"
 
 
@@ -108,13 +109,14 @@ def digests(docs: DataFrame) -> DataFrame:
     return stored(docs.mapInArrow(digest, "doc_id long, key long, sha binary"), "exact-rows")
 
 
-def entries(docs: DataFrame, combine_bytes: int = COMBINE_BYTES) -> DataFrame:
-    """key, sha, keep_id, size, body: copies combined within each map task."""
+def entries(docs: DataFrame, directory: Broadcast, combine_bytes: int = COMBINE_BYTES) -> DataFrame:
+    """bucket, key, sha, keep_id, size, body: copies combined within each map task."""
 
     def rows(held: dict) -> pa.RecordBatch:
-        full = [(key, hashlib.sha256(body).digest(), keep, size, body) for (key, body), (keep, size) in held.items()]
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*full, strict=True), kinds, strict=True)], names=["key", "sha", "keep_id", "size", "body"])
+        where = directory.value
+        full = [(where.bucket(key), key, hashlib.sha256(body).digest(), keep, size, body) for (key, body), (keep, size) in held.items()]
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*full, strict=True), kinds, strict=True)], names=["bucket", "key", "sha", "keep_id", "size", "body"])
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, bytes], list] = {}
@@ -147,11 +149,6 @@ def build_index(docs: DataFrame, rows: DataFrame, capacity: int = CAPACITY, max_
     directory = Directory(counts, capacity, max_depth)
     shared = spark.sparkContext.broadcast(directory)
 
-    def address(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where = shared.value
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([where.bucket(k) for k in batch.column(0).to_pylist()], pa.int32()), *batch.columns], names=["bucket", *batch.schema.names])
-
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Entries arrive by bucket and key: chain what collides."""
         at, chain, out = None, [], []
@@ -185,8 +182,7 @@ def build_index(docs: DataFrame, rows: DataFrame, capacity: int = CAPACITY, max_
             yield batch_of()
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    addressed = entries(docs).mapInArrow(address, f"bucket int, {ENTRY_SCHEMA}")
-    owned = addressed.repartition(min(parts, directory.buckets) if directory.buckets > 1 else 1, "bucket").sortWithinPartitions("bucket", "key")
+    owned = entries(docs, shared).repartition(min(parts, directory.buckets) if directory.buckets > 1 else 1, "bucket").sortWithinPartitions("bucket", "key")
     return stored(owned.mapInArrow(own, GROUP_SCHEMA), "exact-index")
 
 

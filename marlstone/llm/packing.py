@@ -30,11 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stored, texts_as_str
+from .common import prepare, stored, texts_as_str, worker_cache
 
 WINDOW = 2048
 END_ID = 1
-CACHE_PIECES = 500_000
+CACHE_PIECES = 400_000
 CACHE_CHARS = 48
 
 #: A space inside a run of white space, or one that ends such a run and the
@@ -43,7 +43,6 @@ _JOINED_SPACE = re.compile(r"\s (?:\s|\Z)")
 
 IDS_SCHEMA = "part int, local_start long, doc_id long, n long, ids binary"
 PIECES_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_ENCODERS: dict = {}
 
 
 def padded_length(n: int, window: int = WINDOW) -> int:
@@ -135,9 +134,7 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> D
     dtype = id_dtype(tokenizer_path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _ENCODERS:
-            _ENCODERS[tokenizer_path] = PieceIds(tokenizer_path, dtype)
-        encoder = _ENCODERS[tokenizer_path]
+        encoder = worker_cache(f"ids {tokenizer_path}", lambda: PieceIds(tokenizer_path, dtype))
         end, width = np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:

@@ -35,13 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stored, texts_as_bytes
+from .common import discard, prepare, stored, texts_as_bytes
 from .neardup import mixed
 from .suffixes import eight_bytes, reaches, suffix_order
 
 WIDTH, GRAM = 50, 16
 SPAN = WIDTH - GRAM + 1
-BUCKET_PRINTS = 200_000
+BUCKET_PRINTS = 100_000
 HOT_BLOCKS = 200
 #: Stands for a null doc_id: such rows come after all others.
 LAST = (1 << 63) - 1
@@ -126,8 +126,11 @@ def sliced(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
         rows = []
         for row in batch.to_pylist():
             p, several = np.frombuffer(row["a"], np.uint64), row["b"]
-            cut = np.searchsorted(bucket_of(p, buckets), np.arange(buckets + 1))
-            rows += [(PRINTS, row["blk"], k, None, p[i:j].tobytes(), several[i:j], None, None) for k, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if i < j]
+            if not len(p):
+                continue
+            bucket = bucket_of(p, buckets)
+            cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(p)]
+            rows += [(PRINTS, row["blk"], int(bucket[i]), None, p[i:j].tobytes(), several[i:j], None, None) for i, j in zip(cut[:-1], cut[1:], strict=True)]
         yield table(rows)
 
 
@@ -205,8 +208,8 @@ def repeated_windows(pieces: list[bytes], owner: np.ndarray) -> np.ndarray:
     starts = np.cumsum(sizes + 1) - sizes - 1
     counts = sizes - WIDTH + 1
     valid = np.zeros(len(t), bool)
-    seg = np.repeat(np.arange(len(pieces)), sizes + 1)
-    inside = np.arange(len(t)) - starts[seg]
+    seg = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes + 1)
+    inside = (np.arange(len(t)) - starts[seg]).astype(np.int32)
     valid[inside < counts[seg]] = True
     keys = eight_bytes(t)
     order = suffix_order(t, keys)
@@ -217,7 +220,7 @@ def repeated_windows(pieces: list[bytes], owner: np.ndarray) -> np.ndarray:
     least = np.minimum.reduceat(own, first)[group]
     hit = order[least < own]
     mask = np.zeros(len(pieces), np.int64)
-    np.add.at(mask, seg[hit], np.int64(1) << inside[hit])
+    np.add.at(mask, seg[hit], np.int64(1) << inside[hit].astype(np.int64))
     return mask
 
 
@@ -308,10 +311,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     cut = typed(blocks, PRINTS).mapInArrow(lambda it: sliced(it, buckets), SCHEMA)
     shared = stored(owned(cut).mapInArrow(lambda it: grouped(it, "ord", shared_prints), SCHEMA), "repeat-shared")
+    discard(blocks, f"kind={PRINTS}")
     found = by_block(typed(blocks, DOC).unionByName(shared)).mapInArrow(lambda it: grouped(it, "blk", lambda rows: segments(rows, buckets)), SCHEMA)
     found = stored(found, "repeat-segments", ("kind",))
+    discard(shared)
     if not found.take(1):
         return typed(blocks, DOC).select("doc_id", F.length("a").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("a").alias("kept"))
     back = stored(owned(typed(found, SEGMENTS)).mapInArrow(lambda it: grouped(it, "ord", answers), SCHEMA), "repeat-answers")
+    discard(found, f"kind={SEGMENTS}")
     everything = typed(blocks, DOC).unionByName(typed(found, PLACES)).unionByName(back)
     return by_block(everything).mapInArrow(lambda it: grouped(it, "blk", cut_documents), RESULT)

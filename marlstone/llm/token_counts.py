@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_lengths, prepare, texts_as_str
+from .common import byte_lengths, prepare, texts_as_str, worker_cache
 
 WORD_END = "</w>"
 #: Bound of a worker's cache, in pieces, beyond the broadcast table.
@@ -31,7 +31,6 @@ CACHE_PIECES = 300_000
 CACHE_CHARS = 48
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-_COUNTERS: dict = {}
 
 
 def frequent_lengths(tokenizer_path: str) -> dict[str, int]:
@@ -83,9 +82,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
     table = spark.sparkContext.broadcast(frequent_lengths(tokenizer_path))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _COUNTERS:
-            _COUNTERS[tokenizer_path] = PieceLengths(tokenizer_path, table.value)
-        counter = _COUNTERS[tokenizer_path]
+        counter = worker_cache(f"lengths {tokenizer_path}", lambda: PieceLengths(tokenizer_path, table.value))
         for batch in batches:
             text = batch.column(1)
             n = [counter.count(x) for x in texts_as_str(text)]

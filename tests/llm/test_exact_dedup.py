@@ -36,7 +36,7 @@ def test_colliding_keys_are_chained(spark, monkeypatch):
     rows = [(1, "a", ""), (2, "b", ""), (3, "A", "")]
     plain = spark.createDataFrame(rows, SCHEMA).select("doc_id", "text")
     same = plain.selectExpr("doc_id", "cast(5 as long) as key", "unhex(sha2(lower(text), 256)) as sha")
-    monkeypatch.setattr(E, "entries", lambda docs: docs.selectExpr("cast(5 as long) as key", "unhex(sha2(lower(text), 256)) as sha", "doc_id as keep_id", "1L as size", "cast(lower(text) as binary) as body"))
+    monkeypatch.setattr(E, "entries", lambda docs, _: docs.selectExpr("0 as bucket", "cast(5 as long) as key", "unhex(sha2(lower(text), 256)) as sha", "doc_id as keep_id", "1L as size", "cast(lower(text) as binary) as body"))
     got = sorted((r.chain, r.keep_id, r.group_size) for r in E.build_index(plain, same).collect())
     assert sorted(g[1:] for g in got) == [(2, 1), (3, 2)] and [g[0] for g in got] == [0, 1]
 
