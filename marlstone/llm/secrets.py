@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_table
+from .common import new_table, stored
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
@@ -108,6 +108,7 @@ def secret_spans(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule,
         read_ledger(docs, ledger).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("all"))
         .select("blob", F.array_sort(F.filter("all", lambda s: F.array_contains(current, s["rule"]))).alias("spans"))
     )
+    known = stored(known, "secret-findings")  # joined as a table of its own, so that a hot blob's rows can be split
     paths = plain.select("doc_id", F.sha2("text", 256).alias("blob"))
     return paths.join(known, "blob").select("doc_id", "blob", "spans")
 
