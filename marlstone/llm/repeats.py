@@ -41,7 +41,9 @@ from .suffixes import eight_bytes, reaches, suffix_order
 
 WIDTH, GRAM = 50, 16
 SPAN = WIDTH - GRAM + 1
-BUCKET_PRINTS = 100_000
+BUCKET_PRINTS = 200_000
+#: Documents in a block: larger blocks hold more repeats of their own and send fewer, longer rows.
+BLOCK_ROWS = 128
 HOT_BLOCKS = 200
 #: Stands for a null doc_id: such rows come after all others.
 LAST = (1 << 63) - 1
@@ -298,6 +300,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     gives an empty result.
     """
     spark = prepare(docs.sparkSession)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK_ROWS))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     blocks = stored(plain.mapInArrow(profile, SCHEMA), "repeat-blocks", ("kind",))
