@@ -8,14 +8,16 @@
    occupied bin in a random order of its own, the same for every document.
 3. ``BANDS`` bands of ``ROWS`` bins are hashed into bucket keys.  In a bucket
    every node is paired with the bucket's smallest node only: a star, so pairs
-   grow with the rows of a bucket, not with their square.  A second set of
-   buckets takes two bands at once.
+   grow with the rows of a bucket, not with their square.
 4. Pairs are confirmed on the full sets, and the links contracted to
    components by alternating large and small stars.
 5. A text may be similar to members of a bucket but not to its centre.  So where
-   a bucket still spans several components, new stars are drawn in it, centred
-   on nodes of its smallest components and leading to the other components only,
-   round after round, until two rounds in a row link nothing.
+   buckets still span components, new stars are drawn in them, one centred in
+   the largest component and one outside it, as long as a turn halves the pairs
+   of nodes of different components that are left.  Then all of those pairs are
+   tested that the size bound admits: no pair of nodes that share a bucket stays
+   untested unless a component joins them already.  The last step grows with the
+   square of a group whose texts share buckets without being similar.
 
 At similarity 0.85 a pair misses all bands with probability
 (1 - 0.85 ** 6) ** 40, under 1e-8.  Buckets are joined, never gathered, so a
@@ -30,10 +32,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stored, texts_as_bytes, worker_cache
+from .common import discard, prepare, stored, texts_as_bytes, worker_cache
 
 WORDS = 5
 ROWS, BANDS = 6, 40
@@ -41,8 +43,8 @@ BINS = ROWS * BANDS
 #: A link: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 85
 CACHE_WORDS = 200_000
-#: New centres per bucket and round, and rounds without a link that end the search.
-CENTRES, IDLE = 4, 2
+#: Pairs a node that are tested at once rather than thinned by further stars.
+FEW = 4
 SEED = 11
 
 _U = np.uint64
@@ -143,45 +145,66 @@ def profiled(docs: DataFrame) -> DataFrame:
     return stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(profile, NODE_SCHEMA), "near-rows")
 
 
-def bucket_rows(nodes: DataFrame, pairs_of_bands: bool = False) -> DataFrame:
-    """node, key: one row per band, or per two neighbouring bands taken together."""
+def bucket_rows(nodes: DataFrame) -> DataFrame:
+    """node, size, key: one row per band."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, BANDS)
-            if pairs_of_bands:
-                keys = mixed(keys * _U(3) + np.roll(keys, -1, axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(keys.ravel().view(np.int64))], names=["node", "key"])
+            keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
+            node, size = (np.repeat(batch.column(i).to_numpy(), BANDS) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(size), pa.array(keys)], names=["node", "size", "key"])
 
-    return nodes.select("node", "bands").mapInArrow(explode, "node long, key long")
+    return nodes.select("node", "size", "bands").mapInArrow(explode, "node long, size long, key long")
 
 
 def crowded(buckets: DataFrame) -> DataFrame:
-    """key, node, a (the bucket's smallest node), n: buckets of two nodes or more."""
-    centres = buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last"), F.count("*").alias("n")).where("a < last").drop("last")
-    return buckets.join(centres, "key").select("key", "node", "a", "n")
+    """key, node, size, a and a_size (the bucket's smallest node), n: buckets of two nodes or more."""
+    least = F.min(F.struct("node", "size")).alias("c")
+    centres = buckets.groupBy("key").agg(least, F.count("*").alias("n")).where("n > 1").select("key", F.col("c.node").alias("a"), F.col("c.size").alias("a_size"), "n")
+    return buckets.join(centres, "key").select("key", "node", "size", "a", "a_size", "n")
 
 
-def next_stars(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+def alike(x: str, y: str, similarity: int) -> Column:
+    """The size bound: sets of these sizes can reach the similarity."""
+    return 100 * F.least(x, y) >= similarity * F.greatest(x, y)
+
+
+def spanning(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
+    """key, node, size, root, n (nodes of its component in the bucket) of the
+    buckets that span components, and how many pairs of components' nodes they hold."""
+    placed = members.select("key", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    shares = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    sums = shares.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("of"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max(F.struct("n", "root")).alias("top")).where("parts > 1")
+    left = stored(placed.join(sums.select("key", F.col("top.root").alias("top"), "of", "squares"), "key"), "near-spanning")
+    pairs = left.agg(F.sum((F.col("of") * F.col("of") - F.col("squares")) / (2 * F.col("of")))).first()[0]
+    return left, round(pairs or 0)
+
+
+def next_stars(left: DataFrame, turn: int, similarity: int) -> DataFrame:
     """a < b: new stars in buckets that span components; ends are in different ones.
 
-    members: key, node.  Of each bucket up to CENTRES nodes of the components
-    with the fewest members there are centres, drawn anew by hash every turn.
+    One centre is of the bucket's largest component and one of the others,
+    drawn anew by hash for every bucket and turn.
     """
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    drawn = [F.min(F.struct(F.xxhash64(F.lit(turn * CENTRES + i), "node").alias("h"), "node")).alias(f"c{i}") for i in range(CENTRES)]
-    shares = placed.groupBy("key", "root").agg(F.count("*").alias("n"), *drawn)
-    best = [F.min(F.struct("n", F.col(f"c{i}.h"), F.col(f"c{i}.node").alias("node"), F.col("root"))).alias(f"c{i}") for i in range(CENTRES)]
-    mixed_keys = shares.groupBy("key").agg(F.count("*").alias("parts"), *best).where("parts > 1")
-    centres = mixed_keys.select("key", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"c{i}.node").alias("centre"), F.col(f"c{i}.root").alias("centre_root")) for i in range(CENTRES))))).alias("c"))
-    met = placed.join(centres.select("key", "c.*"), "key").where(F.col("root") != F.col("centre_root"))
+    drawn = F.struct(F.xxhash64(F.lit(turn), "key", "node").alias("h"), F.col("node").alias("centre"), F.col("size").alias("centre_size"), F.col("root").alias("centre_root"))
+    centres = left.groupBy("key").agg(F.min(F.when(F.col("root") == F.col("top"), drawn)).alias("x"), F.min(F.when(F.col("root") != F.col("top"), drawn)).alias("y"))
+    centres = centres.select("key", F.explode(F.array("x", "y")).alias("c")).select("key", "c.centre", "c.centre_size", "c.centre_root")
+    met = left.join(centres, "key").where((F.col("root") != F.col("centre_root")) & alike("size", "centre_size", similarity))
     return met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
+def all_pairs(left: DataFrame, similarity: int) -> DataFrame:
+    """a < b: every pair of nodes that share a bucket, are of different components and pass the size bound."""
+    one = left.select("key", F.col("node").alias("a"), F.col("size").alias("na"), F.col("root").alias("ra"))
+    other = left.select("key", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"))
+    met = one.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & alike("na", "nb", similarity))
+    return met.select("a", "b").distinct()
+
+
 def confirmed(pairs: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
-    """The pairs whose full sets reach the similarity."""
+    """a, b, linked: whether the pairs' full sets reach the similarity."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,16 +216,14 @@ def confirmed(pairs: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
             keep = pa.array([similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), similarity) for p, q in zip(x, y, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keep], names=["a", "b", "linked"])
 
-    sizes = rows.select(F.col("rid").alias("node"), "n")
-    near = (
-        pairs.join(sizes.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
-        .where(100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b")
-    )
-    near = stored(near, "near-pairs")
+    near = stored(pairs, "near-pairs")
     wanted = near.select(F.col("a").alias("rid")).union(near.select(F.col("b").alias("rid"))).distinct()
-    full = stored(rows.select("rid", "text").join(wanted, "rid", "left_semi").mapInArrow(sets, "node long, hashes binary"), "near-sets")
+    full = stored(rows.select("rid", "text").join(wanted, "rid", "left_semi").mapInArrow(sets, "node long, hashes binary"), "near-hashes")
     both = near.join(full.withColumnsRenamed({"node": "a", "hashes": "ha"}), "a").join(full.withColumnsRenamed({"node": "b", "hashes": "hb"}), "b")
-    return stored(both.select("a", "b", "ha", "hb").mapInArrow(check, "a long, b long, linked boolean"), "near-links")
+    out = stored(both.select("a", "b", "ha", "hb").mapInArrow(check, "a long, b long, linked boolean"), "near-links")
+    discard(full)
+    discard(near)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -238,27 +259,29 @@ def near_dedup(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     prepare(docs.sparkSession)
     rows = profiled(docs)
     sets = stored(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first_id")), "near-sets")
-    nodes = stored(rows.select(F.col("rid").alias("node"), "bands").join(sets.select("node"), "node", "left_semi"), "near-nodes")
-    members = stored(crowded(bucket_rows(nodes)).union(crowded(bucket_rows(nodes, pairs_of_bands=True))), "near-buckets")
-    pairs = members.where("node > a").select("a", F.col("node").alias("b")).distinct()
+    nodes = rows.select(F.col("rid").alias("node"), F.col("n").alias("size"), "bands").join(sets.select("node"), "node", "left_semi")
+    buckets = stored(bucket_rows(nodes), "near-bands")
+    members = stored(crowded(buckets), "near-buckets")
+    discard(buckets)
+    pairs = members.where((F.col("node") > F.col("a")) & alike("size", "a_size", similarity)).select("a", F.col("node").alias("b")).distinct()
     tested = confirmed(pairs, rows, similarity)
-    links = tested.where("linked").select("a", "b")
-    roots = components(links)
-    members, turn, idle = members.where("n > 2").select("key", "node"), 0, 0
-    while idle < IDLE:
+    roots = components(tested.where("linked").select("a", "b"))
+    few = FEW * sets.count()
+    left, rest = spanning(members.where("n > 2"), roots)
+    discard(members)
+    turn = 0
+    while rest:
         turn += 1
-        pairs = next_stars(members, roots, turn).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = confirmed(pairs, rows, similarity)
-        if not fresh.take(1):
+        # Stars save tests while they merge much; the last turn tests all pairs that are left.
+        last = rest <= few or turn > 1 and 2 * rest > before
+        pairs = all_pairs(left, similarity) if last else next_stars(left, turn, similarity)
+        fresh = confirmed(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), rows, similarity)
+        roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a < b").unionByName(fresh.where("linked").select("a", "b")))
+        if last:
             break
-        tested = tested.unionByName(fresh)
-        found = fresh.where("linked").select("a", "b")
-        if found.take(1):
-            idle = 0
-            links = roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a < b").unionByName(found)
-            roots = components(links)
-        else:
-            idle += 1
+        tested, before, old = tested.unionByName(fresh), rest, left
+        left, rest = spanning(old, roots)
+        discard(old)
     of_set = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = of_set.join(of_set.groupBy("root").agg(F.min("first_id").alias("component")), "root").select("s1", "s2", "component", F.lit(True).alias("known"))
     out = rows.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")

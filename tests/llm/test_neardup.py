@@ -77,3 +77,37 @@ def test_band_keys_are_the_same_for_equal_sets():
     a = N.shingles(b"one two three four five six seven")
     assert (N.band_keys(N.signature(a)) == N.band_keys(N.signature(N.shingles(b"ONE two  three\tfour five six seven")))).all()
     assert len(a) == 3 and len(N.shingles(b"a b")) == 1 and len(N.shingles(b"")) == 0
+
+
+def template_family(texts):
+    """Texts of one template with six words changed, and their classes: two are
+    similar (0.851) if they share four of the places, else under 0.835; all share buckets."""
+    rng = random.Random(8)
+    base, places, least = [f"t{i}" for i in range(500)], [], list(range(texts))
+    for n in range(texts):
+        known = rng.sample(rng.choice(places), 4) if n % 40 == 39 else []
+        places.append(sorted({*known, *rng.sample([i for i in range(5, 495, 5) if i not in known], 6 - len(known))}))
+    while True:
+        before = list(least)
+        for i in range(texts):
+            for j in range(i):
+                if least[i] != least[j] and len(set(places[i]).intersection(places[j])) >= 4:
+                    least[i] = least[j] = min(least[i], least[j])
+        if least == before:
+            break
+    rows = [(n, " ".join(f"x{n}" if i in places[n] else w for i, w in enumerate(base)), "", "") for n in range(texts)]
+    rng.shuffle(rows)
+    return rows, sorted(((n, 496, c, n == c) for n, c in enumerate(least)), key=str)
+
+
+def test_links_of_a_template_family_are_all_found(spark):
+    rows, want = template_family(1200)
+    assert 20 < sum(not kept for *_, kept in want) < 200
+    assert sorted(map(tuple, N.near_dedup(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()), key=str) == want
+
+
+def test_links_are_found_when_stars_come_first(spark, monkeypatch):
+    monkeypatch.setattr(N, "FEW", 0)
+    rows, want = template_family(200)
+    assert want == brute(rows)
+    assert sorted(map(tuple, N.near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()), key=str) == want
