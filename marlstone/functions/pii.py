@@ -23,6 +23,29 @@ CARD = re.compile(r"(?<![0-9-])(?:[0-9][ -]?){12,18}[0-9](?![0-9-])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 INTERNATIONAL = re.compile(r"\+[0-9][0-9 ().-]{5,18}[0-9](?:\s?(?:ext|x)\.?\s?[0-9]{1,5})?")
 NANP = re.compile(r"(?<![0-9-])(?:\([2-9][0-9]{2}\)\s?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?:\s?(?:ext|x)\.?\s?[0-9]{1,5})?(?![0-9-])")
+#: Between groups of digits: a dot or hyphen with blanks around it, or white space.
+SEP = r"(?:[ \t]{0,2}[.\-][ \t]{0,2}|\s{1,2})"
+ID_KEYWORD = re.compile(
+    r"(?i:\b(ssn|social[ \t]+security(?:[ \t]+(?:number|no))?|passport(?:[ \t]+(?:number|no))?|national[ \t]+id|tax[ \t]+id|driver'?s?[ \t]+licen[cs]e(?:[ \t]+(?:number|no))?)\b)"
+    r"[^\w\n]{0,4}(?:(?i:is|was|number|no)[^\w\n]{0,4})?([A-Za-z]{0,3}[0-9][0-9 \-]{4,14}[0-9][A-Za-z]?)(?!\w)"
+)
+PHONE_KEYWORD = re.compile(
+    r"(?i:\b(?:phone|telephone|tel|cellphone|cell|mobile|whatsapp|fax|contact\s{1,3}number|call(?:ed)?|sms|dial|text[ \t]+me|reach[ \t]+me)\b)"
+    r"(?:[^\d\n]{0,20}?\n)?[^\d\n]{0,20}?(\+?[0-9][0-9 \-.()]{5,20}[0-9])(?![0-9])"
+)
+PHONE_INTL = re.compile(rf"(?<![\w+])(?:(?:\+|\b00)[0-9]{{1,4}}(?:{SEP}?\([0-9]{{1,5}}\)|(?:{SEP}|(?<=\)))[0-9]{{1,8}}){{1,6}}|\+[0-9]{{7,15}})(?!\w)")
+CARD_GROUPED = re.compile(rf"(?<![0-9.,])[0-9]{{4}}(?:{SEP}[0-9]{{3,6}}){{2,4}}(?![0-9])")
+LONG_RUN = re.compile(r"(?<![0-9])[0-9]{13,}(?![0-9])")
+PHONE_NANP = re.compile(rf"(?<![\w+])(?:1{SEP})?(?:\([0-9]{{3}}\){SEP}?|[0-9]{{3}}{SEP})[0-9]{{3}}{SEP}[0-9]{{4}}(?!\w)")
+PHONE_NATIONAL = re.compile(rf"(?<![\w.,])0[0-9]{{2,4}}{SEP}[0-9]{{3,4}}{SEP}[0-9]{{3,4}}(?!\w)")
+SSN_SEPARATED = re.compile(r"(?<![\w.-])[0-9]{3}([-. ])[0-9]{2}\1[0-9]{4}(?![\w-]|\.[0-9])")
+PHONE_EXT = re.compile(r"<PHONE>[ \t]{0,2},?[ \t]{0,2}(?i:ext(?:ension)?\.?|x|#)[ \t]{0,2}[0-9]{1,6}(?!\w)")
+YEAR = re.compile(r"(?:19|20)[0-9]{2}")
+#: A report's own id, standing alone, is no personal data though it may hold a long run of digits.
+REPORT_ID = re.compile(r"(?<![^\s(\[{\"'`*|])[Rr]-[0-9a-f]{32}(?=$|[\s)\]}\"'`*|]|[.,;:!?](?![\w@%+\-])|\.md(?![\w@.%+\-]))", re.ASCII)
+HELD = re.compile("\x00([a-z]+)\x00")
+HELD_GAP = re.compile("[ \\t]*\x00[a-z]+\x00[ \\t]*")
+MOST_HELD = 500
 #: Addresses and names have no checksum: only shapes and cue words, never bare words.
 ADDRESS = re.compile(
     r"\b[0-9]{1,5}[A-Za-z]?\s+(?!(?:of|the|in|and|or|for|per|to|from|units?|orders?|items?|customers?|days?|months?)\b)(?:[A-Z][\w.'-]*\s+){1,4}"
@@ -95,31 +118,77 @@ def scrub(text: str) -> Scrubbed:
         text = text[:MOST_CHARS].rsplit(None, 1)[0]
     if text.isascii() and not any(c.isdigit() for c in text) and "@" not in text and "at" not in text:
         return Scrubbed(text, {}, cut)
-    out, found = fold(text), Counter()
+    out = fold(text).replace("\x00", "")
     for code, char in ENCODED.items():
         out = out.replace(code, char)
+    ids: list[str] = []
+
+    def hold(m: re.Match) -> str:
+        if len(ids) >= MOST_HELD or any(len(r) > 19 or luhn(r) for r in LONG_RUN.findall(m[0])):
+            return m[0]
+        ids.append(m[0])
+        return "\x00" + "".join(chr(97 + int(d)) for d in str(len(ids) - 1)) + "\x00"
+
+    held = REPORT_ID.sub(hold, out)
+    out, found = mask_numbers(held)
+    if ids:
+        # An id must not hide what it splits: if the text without ids is masked otherwise, the ids go.
+        without, counts = mask_numbers(HELD_GAP.sub(" ", held))
+        if without != HELD_GAP.sub(" ", out):
+            return Scrubbed(without, counts, cut)
+        out = HELD.sub(lambda m: ids[int("".join(str(ord(c) - 97) for c in m[1]))], out)
+    return Scrubbed(out, found, cut)
+
+
+def card_or_id(m: re.Match) -> str | None:
+    """What a group of digits shaped like a card is: CARD, ID, or neither."""
+    groups = re.findall("[0-9]+", m[0])
+    digits = "".join(groups)
+    if len(digits) < 13:
+        return None
+    if len(digits) <= 19 and luhn(digits):
+        return "CARD"
+    if len(groups) == 1 or re.search(r"[.-]", m[0]):
+        return "ID"
+    layout = len(groups) == 4 and all(len(g) == 4 for g in groups)
+    return "ID" if layout and not all(YEAR.fullmatch(g) for g in groups) else None
+
+
+def mask_numbers(out: str) -> tuple[str, dict[str, int]]:
+    """E-mail addresses and numbers, in the reference's order; the wider patterns of ours follow theirs."""
+    found: Counter = Counter()
 
-    def mask(pattern: re.Pattern, tag: str, ok=lambda m: True, keep: int = 0) -> None:
+    def mask(pattern: re.Pattern, kind, group: int = 0) -> None:
+        """kind: a tag, or what gives a match its tag or None; the group is replaced."""
         nonlocal out
 
         def one(m: re.Match) -> str:
-            if not ok(m):
+            tag = kind if isinstance(kind, str) else kind(m)
+            if not tag:
                 return m[0]
             found[tag] += 1
-            return (m[keep] if keep else "") + f"<{tag}>"
+            return m[0][: m.start(group) - m.start()] + f"<{tag}>" + m[0][m.end(group) - m.start() :]
 
         out = pattern.sub(one, out)
 
-    digits = lambda m: re.sub(r"\D", "", m[0])
+    count = lambda text: sum(c.isdecimal() for c in text)
     mask(EMAIL, "EMAIL")
-    mask(IBAN, "IBAN", lambda m: mod97(m[0]))
-    mask(ID_CUE, "ID", keep=1)
-    mask(PHONE_CUE, "PHONE", lambda m: 7 <= len(re.sub(r"\D", "", m[2])) <= 15, keep=1)
-    mask(CARD, "CARD", lambda m: luhn(digits(m)))
-    mask(SSN, "SSN")
-    mask(INTERNATIONAL, "PHONE", lambda m: 7 <= len(digits(m)) <= 15)
+    mask(IBAN, lambda m: "IBAN" if mod97(m[0]) else None)
+    mask(ID_KEYWORD, lambda m: None if count(m[2]) < 6 else "SSN" if m[1][0] in "sS" else "ID", 2)
+    mask(ID_CUE, "ID", 2)
+    mask(PHONE_KEYWORD, lambda m: "PHONE" if count(m[1]) >= 7 else None, 1)
+    mask(PHONE_CUE, lambda m: "PHONE" if 7 <= count(m[2]) <= 15 else None, 2)
+    mask(PHONE_INTL, lambda m: "PHONE" if 7 <= count(m[0]) <= 15 else None)
+    mask(CARD_GROUPED, card_or_id)
+    mask(LONG_RUN, card_or_id)
+    mask(CARD, lambda m: "CARD" if luhn(re.sub("[^0-9]", "", m[0])) else None)
+    mask(INTERNATIONAL, lambda m: "PHONE" if 7 <= count(m[0]) <= 15 else None)
+    mask(PHONE_NANP, "PHONE")
     mask(NANP, "PHONE")
-    return Scrubbed(out, dict(found), cut)
+    mask(PHONE_NATIONAL, "PHONE")
+    mask(SSN_SEPARATED, "SSN")
+    mask(SSN, "SSN")
+    return PHONE_EXT.sub("<PHONE>", out), dict(found)
 
 
 def scrub_secrets(text: str) -> str:
