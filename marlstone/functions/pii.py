@@ -58,7 +58,10 @@ NAME_CUES = (
     re.compile(rf"\b((?:Mr|Mrs|Ms|Miss|Dr|Prof)\.?\s+)({NAME})"), re.compile(rf"\b((?:[Mm]y name is|I am called|[Tt]his is)\s+)({NAME})"),
     re.compile(rf"((?:\b[Nn]ame|\b[Cc]ustomer|\b[Cc]ontact)\s*:\s*)({NAME})"), re.compile(rf"(^(?:Dear|Hi|Hello)\s+)({NAME})", re.M),
 )
-SECRET = re.compile(r"(?i)\b(?:api[_-]?key|token|secret|password)\b\s*[:=]\s*\S+|\bBearer\s+\S+|\bsk-[A-Za-z0-9]{16,}")
+SECRET = re.compile(
+    r"(?i:\b(?:api[_-]?key|token|secret|password)\b\s*[:=]\s*\S+|\bBearer\s+\S+|\bsk-[A-Za-z0-9]{16,})"
+    r"|AIza[0-9A-Za-z_-]{35}|ya29\.[0-9A-Za-z_.~+/=-]+|\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|(?i:(?:key|token|secret|password|passwd|signature)=[^&\s\"',;]+)"
+)
 SENSITIVE = ("key", "token", "secret", "password", "authorization", "credential")
 ENCODED = {"%40": "@", "&#64;": "@", "&commat;": "@", "%2e": ".", "%2E": ".", "&#46;": "."}
 
@@ -196,6 +199,20 @@ def scrub_secrets(text: str) -> str:
     return SECRET.sub("<SECRET>", text)
 
 
+def card_numbers(text: str) -> list[tuple[str, bool]]:
+    """Digits of every card-shaped number of 13 to 19 digits, and whether they pass Luhn.
+
+    Groups of 3 to 6 after one of 4, unbroken runs, and runs with single blanks or
+    hyphens; of shapes that overlap the longest counts.
+    """
+    shapes = [(re.sub("[^0-9]", "", m[0]), *m.span()) for pattern in (CARD_GROUPED, LONG_RUN, CARD) for m in pattern.finditer(text)]
+    found: list[tuple[int, int, str]] = []
+    for digits, start, end in sorted(shapes, key=lambda x: -len(x[0])):
+        if 13 <= len(digits) <= 19 and not any(s < end and start < e for s, e, _ in found):
+            found.append((start, end, digits))
+    return [(digits, luhn(digits)) for _, _, digits in sorted(found)]
+
+
 def drop_sensitive(value, depth: int = 6, most: int = 50):
     """Nested trace fields without those named like a secret."""
     if depth < 0:
@@ -216,3 +233,17 @@ def scrubbed(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for part in parts:
         done = [scrub(t) if t is not None else Scrubbed("") for t in part]
         yield pd.DataFrame({"text": [d.text for d in done], "findings": [d.findings for d in done], "truncated": [d.truncated for d in done]})
+
+
+@F.pandas_udf(T.StringType())
+def without_secrets(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """scrub_secrets() over Arrow batches; null stays null."""
+    for part in parts:
+        yield part.map(lambda t: scrub_secrets(t) if t is not None else None)
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("digits", T.StringType()), T.StructField("valid", T.BooleanType())])))
+def cards(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """card_numbers() over Arrow batches."""
+    for part in parts:
+        yield part.map(lambda t: [{"digits": d, "valid": v} for d, v in card_numbers(t or "")])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..bands import merge_small_bands
 from ..catalog import TABLES, VIEWS, kind, products, shop_sql
-from ..functions.pii import scrubbed
+from ..functions.pii import cards, scrubbed, without_secrets
 from ..plans import rewrite
 from ..registry import query, table
 from ..scope import Scope, bind, scoped_views, unknown_brands
@@ -190,6 +190,18 @@ def secret_scrub(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where(t.rlike("(password|token|secret)[:=]")).select("doc_id", F.regexp_replace(t, "(password|token|secret)[:=] *[^ ]+", "<SECRET>").alias("clean"))
 
 
+@query("card_numbers", "PII-7")
+def card_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers of 13 to 19 digits, separated or not; no oracle, SQL has no such patterns."""
+    return table(spark, sf, "documents").select("doc_id", F.explode(cards("text")).alias("c")).select("doc_id", "c.digits", "c.valid")
+
+
+@query("secrets_scrubbed", "PII-13")
+def secrets_scrubbed(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents without keys and tokens; no oracle, SQL has no such patterns."""
+    return table(spark, sf, "documents").select("doc_id", without_secrets("text").alias("clean"))
+
+
 @query("sensitive_keys_dropped", "PII-14")
 def sensitive_keys_dropped(spark: SparkSession, sf: str) -> DataFrame:
     """props without the fields named like a secret; no oracle, JSON text differs."""

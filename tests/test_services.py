@@ -143,6 +143,33 @@ def test_pii_numbers_and_report_ids(text, want):
     assert pii.scrub(text).text == want
 
 
+@pytest.mark.parametrize("secret", ["Password: x", "api_key=abc", "Bearer abc.def", "sk-" + "a1" * 10, "AKIA" + "A1" * 8, "ASIA" + "B2" * 8, "AIza" + "x" * 35, "ya29.a0-b_c", "passwd=x1", "signature=ab%2F"])
+def test_every_secret_shape_goes(secret):
+    assert pii.scrub_secrets(f"a {secret} b") == "a <SECRET> b"
+
+
+def test_secrets_and_cards_over_all_documents(spark, tmp_path):
+    from marlstone.operators import governed
+
+    texts = ["Password: x", None, "plain", "4222222222222 and 3782-822463-10005", "4111 1111 1111 1112", "1234567890123456789 12345678901234567890 123456789012"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, governed.secrets_scrubbed(spark, str(tmp_path)).collect())) == [(i, "<SECRET>" if i == 0 else t) for i, t in enumerate(texts)]
+    assert sorted(map(tuple, governed.card_numbers(spark, str(tmp_path)).collect())) == [(3, "378282246310005", True), (3, "4222222222222", True), (4, "4111111111111112", False), (5, "1234567890123456789", False)]
+
+
+def test_cards_equal_those_found_by_hand():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(300):
+        digits = "".join(rng.choice("0123456789") for _ in range(rng.randrange(10, 20)))
+        sep = rng.choice(["", "-", " "])
+        text = sep.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+        doubled = [int(d) if i % 2 == 0 else (int(d) * 2 - 9 if int(d) > 4 else int(d) * 2) for i, d in enumerate(digits[::-1])]
+        want = [(digits, sum(doubled) % 10 == 0)] if 13 <= len(digits) <= 19 else []
+        assert pii.card_numbers(f"x {text} y") == want, text
+
+
 def test_pii_truncates_and_udf_agrees(spark):
     long = pii.scrub("a@b.co " * 30_000)
     assert long.truncated and "@" not in long.text
