@@ -33,6 +33,13 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Letters and digits of an IBAN by country.
+IBAN_LENGTH = {
+    c: n for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FO FI GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "HR LV LI CH", 22: "BH BG CR GE DE IE ME RS GB VA", 23: "GI IQ IL TL AE",
+        24: "AD CZ MD PK RO SA SK ES SE TN VG", 25: "PT ST", 26: "IS TR", 27: "FR GR IT MR MC SM", 28: "AL AZ BY CY DO SV GT HU LB PL", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+    }.items() for c in countries.split()
+}
 SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 NATPHONE = re.compile(r"(?<![0-9+.-])(?:\([0-9]{2,5}\)|[0-9]{2,5})[\x20./-]?[0-9]{3,4}[\x20./-]?[0-9]{3,5}(?![0-9-])")
 DIGIT = re.compile(r"[0-9]")
@@ -86,8 +93,21 @@ def valid_phone(m: re.Match) -> bool:
     return 9 <= len(NOT_DIGIT.sub("", m[0])) <= 15
 
 
-def valid_iban(m: re.Match) -> bool:
-    return mod97(m[0].replace(" ", ""))
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Spans that pass mod 97: of the country's length, else up to the last separator that allows it."""
+    at = 0
+    while m := IBAN.search(text, at):
+        ends = [m.start() + i for i, c in enumerate(m[0]) if c == " "][::-1]
+        ends.insert(0, m.end())
+        long = IBAN_LENGTH.get(m[0][:2])
+        ends.sort(key=lambda e: len(text[m.start() : e].replace(" ", "")) != long)
+        for end in ends:
+            if IBAN.fullmatch(text, m.start(), end) and mod97(text[m.start() : end].replace(" ", "")):
+                yield m.start(), end
+                at = end
+                break
+        else:
+            at = m.start() + 1
 
 
 def valid_ssn(m: re.Match) -> bool:
@@ -101,7 +121,7 @@ def valid_natphone(m: re.Match) -> bool:
 #: kind, pattern, validator, and whether a digit (else an @) must be in the text.
 RULES = (
     ("email", EMAIL, None), ("ip", IP, valid_ip), ("card", CARD, valid_card), ("phone", PHONE, valid_phone),
-    ("iban", IBAN, valid_iban), ("ssn", SSN, valid_ssn), ("natphone", NATPHONE, valid_natphone),
+    ("ssn", SSN, valid_ssn), ("natphone", NATPHONE, valid_natphone),
 )
 
 
@@ -115,8 +135,8 @@ def find_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int,
     """All spans of a whole text by start, then kind as listed in KINDS.
 
     Positions are code points, the end exclusive.  A base match that its
-    validator refuses is dropped and not tried again.  An added span that
-    overlaps a base span is left out.
+    validator refuses is dropped and not tried again.  An IBAN stands beside
+    a base span it overlaps; any other added span that overlaps one is left out.
     """
     digits = DIGIT.search(text) is not None
     found = []
@@ -128,6 +148,10 @@ def find_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int,
                 continue
             found += [(kind, *m.span(), score(kind, text, *m.span())) for m in pattern.finditer(text) if valid(m)]
         taken = sorted((s, e) for _, s, e, _ in found)
+        for s, e in ibans(text):
+            if (x := score("iban", text, s, e)) >= threshold:
+                found.append(("iban", s, e, x))
+                taken.append((s, e))
         for kind, pattern, valid in RULES[4:]:
             for m in pattern.finditer(text):
                 if valid(m) and not any(s < m.end() and m.start() < e for s, e in taken) and (x := score(kind, text, *m.span())) >= threshold:

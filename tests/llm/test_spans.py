@@ -116,3 +116,27 @@ def test_null_ids_repeats_and_nothing(spark):
         assert sorted((r.doc_id or -1, bool(r.spans)) for r in found.collect()) == [(-1, True), (1, False), (1, False)]
     for found in (pii.pii_spans(odd.limit(0)), secrets.secret_spans(odd.limit(0))):
         assert found.collect() == []
+
+
+def test_ibans_end_where_the_country_says():
+    from marlstone.llm import pii as P
+
+    def spans(text):
+        return [(text[s:e]) for kind, s, e, _ in P.find_spans(text) if kind == "iban"]
+
+    assert spans("DE89370400440532013000 EUR") == ["DE89370400440532013000"]
+    assert spans("DE89 3704 0044 0532 0130 00 USD 500 X") == ["DE89 3704 0044 0532 0130 00"]
+    assert spans("GB82WEST12345698765432 DE89370400440532013000 NL91ABNA0417164300") == ["GB82WEST12345698765432", "DE89370400440532013000", "NL91ABNA0417164300"]
+    assert spans("DE89370400440532013001 EUR") == []
+
+
+def test_an_iban_stands_beside_a_card_inside_it():
+    from marlstone.llm import pii as P
+
+    for n in range(10**15, 10**15 + 3000):
+        text = f"AT{98 - int(f'{n}102900') % 97:02d}{n}"
+        kinds = [k for k, *_ in P.find_spans(text)]
+        if "card" in kinds:
+            assert kinds == ["iban", "card"]
+            return
+    raise AssertionError("no such number")
