@@ -11,17 +11,16 @@
    grow with the rows of a bucket, not with their square.
 4. Pairs are confirmed on the full sets, and the links contracted to
    components by alternating large and small stars.
-5. A text may be similar to members of a bucket but not to its centre.  So where
-   buckets still span components, new stars are drawn in them, one centred in
-   the largest component and one outside it, as long as a turn halves the pairs
-   of nodes of different components that are left.  Then all of those pairs are
-   tested that the size bound admits: no pair of nodes that share a bucket stays
-   untested unless a component joins them already.  The last step grows with the
-   square of a group whose texts share buckets without being similar.
-
-At similarity 0.85 a pair misses all bands with probability
-(1 - 0.85 ** 6) ** 40, under 1e-8.  Buckets are joined, never gathered, so a
-hot bucket can be split between tasks.
+5. A text may be similar to members of a bucket but not to its centre.  So the
+   nodes of buckets that still span components are searched once more, exactly:
+   every pair of sets that reaches the similarity shares a shingle among the
+   rarest of either, and its place there bounds how much they can share.  Only
+   pairs of different components that pass that bound are tested, and of a
+   bucket's largest component no two members meet.
+
+No link is left out but for a pair that shares no bucket at all: at similarity
+0.85 that has probability (1 - 0.85 ** 6) ** 40, under 1e-8.  Buckets are
+joined, never gathered, so a hot bucket can be split between tasks.
 """
 
 from __future__ import annotations
@@ -32,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, prepare, stored, texts_as_bytes, worker_cache
@@ -43,8 +42,6 @@ BINS = ROWS * BANDS
 #: A link: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 85
 CACHE_WORDS = 200_000
-#: Pairs a node that are tested at once rather than thinned by further stars.
-FEW = 4
 SEED = 11
 
 _U = np.uint64
@@ -119,111 +116,127 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: int = SIMILARITY) -> bool:
     return 100 * common >= similarity * (len(both) - common)
 
 
-NODE_SCHEMA = "rid long, doc_id long, n long, s1 long, s2 long, bands binary, text binary"
+ROW_SCHEMA = "rid long, doc_id long, given long, n long, s1 long, s2 long, bands binary, text binary"
 
 
-def profiled(docs: DataFrame) -> DataFrame:
+def profiled(docs: DataFrame, row: Column | None) -> DataFrame:
     """Every row with a row number, its set's size and fingerprint, its bands; stored."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 34
         for batch in batches:
-            texts = texts_as_bytes(batch.column(1))
+            texts = texts_as_bytes(batch.column(2))
             sets = [shingles(x) for x in texts]
             prints = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets]
             bands = [band_keys(signature(s)).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(rid, rid + len(sets))), batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(np.arange(rid, rid + len(sets))), batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([int(p[0]) for p in prints], pa.int64()), pa.array([int(p[1]) for p in prints], pa.int64()),
                     pa.array(bands, pa.binary()), pa.array(texts, pa.binary()),
                 ],
-                names=[x.split()[0] for x in NODE_SCHEMA.split(", ")],
+                names=[x.split()[0] for x in ROW_SCHEMA.split(", ")],
             )
             rid += len(sets)
 
-    return stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(profile, NODE_SCHEMA), "near-rows")
+    given = F.lit(None).cast("long") if row is None else row.cast("long")
+    return stored(docs.select(F.col("doc_id").cast("long"), given.alias("given"), F.col("text").cast("string")).mapInArrow(profile, ROW_SCHEMA), "near-rows")
 
 
 def bucket_rows(nodes: DataFrame) -> DataFrame:
-    """node, size, key: one row per band."""
+    """key, node: one row per band."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
-            node, size = (np.repeat(batch.column(i).to_numpy(), BANDS) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(size), pa.array(keys)], names=["node", "size", "key"])
+            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["key", "node"])
 
-    return nodes.select("node", "size", "bands").mapInArrow(explode, "node long, size long, key long")
+    return nodes.select("node", "bands").mapInArrow(explode, "key long, node long")
 
 
 def crowded(buckets: DataFrame) -> DataFrame:
-    """key, node, size, a and a_size (the bucket's smallest node), n: buckets of two nodes or more."""
-    least = F.min(F.struct("node", "size")).alias("c")
-    centres = buckets.groupBy("key").agg(least, F.count("*").alias("n")).where("n > 1").select("key", F.col("c.node").alias("a"), F.col("c.size").alias("a_size"), "n")
-    return buckets.join(centres, "key").select("key", "node", "size", "a", "a_size", "n")
+    """key, node, a (the bucket's smallest node) of the buckets of two nodes or more."""
+    centres = buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a")
+    return buckets.join(centres, "key").select("key", "node", "a")
 
 
-def alike(x: str, y: str, similarity: int) -> Column:
-    """The size bound: sets of these sizes can reach the similarity."""
-    return 100 * F.least(x, y) >= similarity * F.greatest(x, y)
+def full_sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, size, hashes: the whole sets of these nodes; stored."""
 
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "size", "hashes"])
 
-def spanning(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
-    """key, node, size, root, n (nodes of its component in the bucket) of the
-    buckets that span components, and how many pairs of components' nodes they hold."""
-    placed = members.select("key", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    shares = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    sums = shares.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("of"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max(F.struct("n", "root")).alias("top")).where("parts > 1")
-    left = stored(placed.join(sums.select("key", F.col("top.root").alias("top"), "of", "squares"), "key"), "near-spanning")
-    pairs = left.agg(F.sum((F.col("of") * F.col("of") - F.col("squares")) / (2 * F.col("of")))).first()[0]
-    return left, round(pairs or 0)
+    wanted = rows.select(F.col("rid").alias("node"), "text").join(nodes, "node", "left_semi")
+    return stored(wanted.mapInArrow(sets, "node long, size long, hashes binary"), "near-sets-whole")
 
 
-def next_stars(left: DataFrame, turn: int, similarity: int) -> DataFrame:
-    """a < b: new stars in buckets that span components; ends are in different ones.
+def confirmed(pairs: DataFrame, whole: DataFrame, similarity: int) -> DataFrame:
+    """a, b: the pairs whose full sets reach the similarity; stored."""
 
-    One centre is of the bucket's largest component and one of the others,
-    drawn anew by hash for every bucket and turn.
-    """
-    drawn = F.struct(F.xxhash64(F.lit(turn), "key", "node").alias("h"), F.col("node").alias("centre"), F.col("size").alias("centre_size"), F.col("root").alias("centre_root"))
-    centres = left.groupBy("key").agg(F.min(F.when(F.col("root") == F.col("top"), drawn)).alias("x"), F.min(F.when(F.col("root") != F.col("top"), drawn)).alias("y"))
-    centres = centres.select("key", F.explode(F.array("x", "y")).alias("c")).select("key", "c.centre", "c.centre_size", "c.centre_root")
-    met = left.join(centres, "key").where((F.col("root") != F.col("centre_root")) & alike("size", "centre_size", similarity))
-    return met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (c.to_pylist() for c in batch.columns[2:])
+            yield batch.select([0, 1]).filter(pa.array([similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), similarity) for p, q in zip(x, y, strict=True)], pa.bool_()))
 
+    sized = pairs.join(whole.select(F.col("node").alias("a"), F.col("size").alias("na")), "a").join(whole.select(F.col("node").alias("b"), F.col("size").alias("nb")), "b")
+    near = sized.where(100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b")
+    sets = whole.select("node", "hashes")
+    both = near.join(sets.withColumnsRenamed({"node": "a", "hashes": "ha"}), "a").join(sets.withColumnsRenamed({"node": "b", "hashes": "hb"}), "b")
+    return stored(both.select("a", "b", "ha", "hb").mapInArrow(check, "a long, b long"), "near-links")
 
-def all_pairs(left: DataFrame, similarity: int) -> DataFrame:
-    """a < b: every pair of nodes that share a bucket, are of different components and pass the size bound."""
-    one = left.select("key", F.col("node").alias("a"), F.col("size").alias("na"), F.col("root").alias("ra"))
-    other = left.select("key", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"))
-    met = one.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & alike("na", "nb", similarity))
-    return met.select("a", "b").distinct()
 
+def open_nodes(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, root of the nodes in buckets that span components."""
+    placed = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    spans = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    return placed.join(spans, "key", "left_semi").select("node", "root").distinct()
 
-def confirmed(pairs: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
-    """a, b, linked: whether the pairs' full sets reach the similarity."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["node", "hashes"])
+def rare_prefixes(whole: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
+    """shingle, node, size, root, rest: the shingles by which a node can be found
+    from another component; stored.
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    One order holds for all sets: shingles of a single component first, then the
+    rarer ones first.  ``rest`` counts a set's shingles from this one on.  The first
+    shingle in that order that two sets share has the whole intersection in
+    ``rest`` of either, so a link has such a row on both sides.
+    """
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (c.to_pylist() for c in batch.columns[2:])
-            keep = pa.array([similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), similarity) for p, q in zip(x, y, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keep], names=["a", "b", "linked"])
-
-    near = stored(pairs, "near-pairs")
-    wanted = near.select(F.col("a").alias("rid")).union(near.select(F.col("b").alias("rid"))).distinct()
-    full = stored(rows.select("rid", "text").join(wanted, "rid", "left_semi").mapInArrow(sets, "node long, hashes binary"), "near-hashes")
-    both = near.join(full.withColumnsRenamed({"node": "a", "hashes": "ha"}), "a").join(full.withColumnsRenamed({"node": "b", "hashes": "hb"}), "b")
-    out = stored(both.select("a", "b", "ha", "hb").mapInArrow(check, "a long, b long, linked boolean"), "near-links")
-    discard(full)
-    discard(near)
-    return out
+            if batch.num_rows:
+                size = batch.column(1).to_numpy()
+                own = [pa.array(np.repeat(batch.column(i).to_numpy(), size)) for i in (0, 1, 2)]
+                hashes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array((hashes >> _U(1)).astype(np.int64)), *own], names=["shingle", "node", "size", "root"])
+
+    sets = whole.join(nodes, "node").select("node", "size", "root", "hashes")
+    elements = sets.mapInArrow(explode, "shingle long, node long, size long, root long")
+    common = elements.groupBy("shingle").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle", "df")
+    own = Window.partitionBy("node")
+    shared = elements.join(common, "shingle").withColumn("rest", F.row_number().over(own.orderBy(F.desc("df"), F.desc("shingle"))))
+    return stored(shared.where(100 * F.col("rest") >= similarity * F.col("size")).select("shingle", "node", "size", "root", "rest"), "near-prefixes")
+
+
+def within(rest: str, x: str, y: str, similarity: int) -> Column:
+    """Whether an intersection of ``rest`` lets sets of these sizes reach the similarity."""
+    return (100 + similarity) * F.col(rest) >= similarity * (F.col(x) + F.col(y))
+
+
+def rest_of_pairs(prefixes: DataFrame, similarity: int) -> DataFrame:
+    """a < b: pairs of different components that the positions of a shared rare shingle admit."""
+    parts = prefixes.groupBy("shingle", "root").agg(F.count("*").alias("n"), F.min("size").alias("least"))
+    about = parts.groupBy("shingle").agg(F.count("*").alias("parts"), F.max(F.struct("n", "root")).getField("root").alias("top"), F.min("least").alias("least")).where("parts > 1").select("shingle", "top", "least")
+    left = prefixes.join(about, "shingle").where(within("rest", "size", "least", similarity)).select("shingle", "node", "size", "root", "rest", "top")
+    # Every such pair has an end outside its bucket's largest component.
+    one = left.where("root <> top").select("shingle", F.col("node").alias("x"), F.col("size").alias("nx"), F.col("root").alias("rx"), F.col("rest").alias("sx"))
+    other = left.select("shingle", F.col("node").alias("y"), F.col("size").alias("ny"), F.col("root").alias("ry"), F.col("rest").alias("sy"))
+    met = one.join(other, (one.shingle == other.shingle) & (F.col("rx") != F.col("ry")) & within("sx", "nx", "ny", similarity) & within("sy", "nx", "ny", similarity))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -246,7 +259,7 @@ def components(links: DataFrame) -> DataFrame:
         edges = stored(small, "near-edges")
 
 
-def near_dedup(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+def near_dedup(docs: DataFrame, similarity: int = SIMILARITY, row: Column | None = None) -> DataFrame:
     """Classes of documents that links of the given similarity connect.
 
     Returns one row per input row: doc_id, n_shingles, component_id (smallest
@@ -254,36 +267,32 @@ def near_dedup(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     has no shingle and is a class of its own.  Null doc_ids belong to their
     class without naming it, and a class of null ids only has component_id
     null and keeps its rows; rows that repeat a kept doc_id are all kept.
+    ``row``, a number that no two rows share, adds ``row`` and ``first``: true
+    for exactly one row of each class, of the smallest doc_id and then number.
     Other columns are ignored; an empty table gives an empty result.
     """
     prepare(docs.sparkSession)
-    rows = profiled(docs)
-    sets = stored(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first_id")), "near-sets")
-    nodes = rows.select(F.col("rid").alias("node"), F.col("n").alias("size"), "bands").join(sets.select("node"), "node", "left_semi")
-    buckets = stored(bucket_rows(nodes), "near-bands")
-    members = stored(crowded(buckets), "near-buckets")
-    discard(buckets)
-    pairs = members.where((F.col("node") > F.col("a")) & alike("size", "a_size", similarity)).select("a", F.col("node").alias("b")).distinct()
-    tested = confirmed(pairs, rows, similarity)
-    roots = components(tested.where("linked").select("a", "b"))
-    few = FEW * sets.count()
-    left, rest = spanning(members.where("n > 2"), roots)
+    rows = profiled(docs, row)
+    least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("given").alias("given"))).alias("least")
+    sets = stored(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("rid").alias("node"), least), "near-sets")
+    nodes = stored(rows.select(F.col("rid").alias("node"), "bands").join(sets.select("node"), "node", "left_semi"), "near-nodes")
+    members = stored(crowded(bucket_rows(nodes)), "near-buckets")
+    discard(nodes)
+    whole = full_sets(rows, members.select("node").distinct())
+    links = confirmed(members.where("a < node").select("a", F.col("node").alias("b")).distinct(), whole, similarity)
+    stars = components(links)
+    prefixes = rare_prefixes(whole, open_nodes(members, stars), similarity)
     discard(members)
-    turn = 0
-    while rest:
-        turn += 1
-        # Stars save tests while they merge much; the last turn tests all pairs that are left.
-        last = rest <= few or turn > 1 and 2 * rest > before
-        pairs = all_pairs(left, similarity) if last else next_stars(left, turn, similarity)
-        fresh = confirmed(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), rows, similarity)
-        roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a < b").unionByName(fresh.where("linked").select("a", "b")))
-        if last:
-            break
-        tested, before, old = tested.unionByName(fresh), rest, left
-        left, rest = spanning(old, roots)
-        discard(old)
+    found = confirmed(rest_of_pairs(prefixes, similarity), whole, similarity)
+    discard(prefixes)
+    discard(whole)
+    roots = components(stars.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a < b").unionByName(found))
     of_set = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = of_set.join(of_set.groupBy("root").agg(F.min("first_id").alias("component")), "root").select("s1", "s2", "component", F.lit(True).alias("known"))
-    out = rows.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
-    component = F.when((F.col("n") > 0) & F.col("known"), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = of_set.join(of_set.groupBy("root").agg(F.min("least").alias("component")), "root").select("s1", "s2", "component", F.lit(True).alias("known"))
+    out = rows.select("doc_id", "given", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
+    member = (F.col("n") > 0) & F.coalesce("known", F.lit(False))
+    component = F.when(member, F.col("component.doc_id")).otherwise(F.col("doc_id"))
+    columns = ["doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")]
+    if row is not None:
+        columns += [F.col("given").alias("row"), (~member | (F.col("given") == F.col("component.given"))).alias("first")]
+    return out.select(*columns)

@@ -106,8 +106,29 @@ def test_links_of_a_template_family_are_all_found(spark):
     assert sorted(map(tuple, N.near_dedup(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()), key=str) == want
 
 
-def test_links_are_found_when_stars_come_first(spark, monkeypatch):
-    monkeypatch.setattr(N, "FEW", 0)
+def test_template_family_equals_all_pairs(spark):
     rows, want = template_family(200)
     assert want == brute(rows)
     assert sorted(map(tuple, N.near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()), key=str) == want
+
+
+def test_one_row_of_each_class_comes_first(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, text), (5, text), (None, text), (3, text + " x"), (3, text + " x"), (None, "other words that stand alone here"), (None, "other words that stand alone here"), (9, None), (9, "")]
+    numbered = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k long")
+    found = {r.row: r["first"] for r in N.near_dedup(numbered, row=N.F.col("k")).collect()}
+    assert [k for k in range(9) if found[k]] == [3, 5, 7, 8]
+
+
+def test_links_apart_from_every_star_are_found(spark):
+    """Two sub-families of one template, alike among themselves only, beside strays."""
+    base = [f"t{i}" for i in range(300)]
+
+    def text(tag, places):
+        return " ".join(f"{tag}{i}" if i in places else w for i, w in enumerate(base))
+
+    rows = [(0, text("stray", range(5, 300, 38)), "", "")]
+    for family in range(6):
+        own = range(10 + family * 6, 300, 45)
+        rows += [(1 + family * 20 + k, text(f"f{family}", own) + f" end{family}{k}", "", "") for k in range(5)]
+    assert sorted(map(tuple, N.near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()), key=str) == brute(rows)
