@@ -10,14 +10,17 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch handed to Python.  Whole texts travel in these
-#: batches, so the number bounds a worker's memory by 64 long texts.
-ARROW_ROWS = 64
+#: Rows and bytes in an Arrow batch handed to Python.  Whole texts travel in these
+#: batches; one text may be longer than the bytes, and is then a batch of its own.
+ARROW_ROWS, ARROW_BYTES = 64, 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Keep Arrow batches small enough for very long texts, and let Python
-    workers started from here find this package (a cluster gets it by --py-files)."""
+    workers started from here find this package (a cluster gets it by --py-files).
+
+    The settings are the same for every operator: a frame that runs later, or
+    beside another, meets the batches it was built for."""
     home = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if home not in known.split(":"):
@@ -25,6 +28,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     # Workers live on between stages: what they free should go back to the system.
     spark.sparkContext.environment.update(ARROW_DEFAULT_MEMORY_POOL="system", MALLOC_ARENA_MAX="1", MALLOC_TRIM_THRESHOLD_="131072")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     # What a finished step has shuffled is not read again: stored() keeps its result.
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark

@@ -6,13 +6,14 @@ every byte fifty times, so the suffixes that can matter are found first:
 
 1. Each window of WIDTH bytes has a fingerprint: the smallest hash among its
    ``GRAM``-byte grams.  Equal windows have equal fingerprints, and about one
-   position in eighteen carries one.  Map tasks send each block's distinct
-   fingerprints, by hash range; owners answer which of them occur in more than
-   one document.
+   position in eighteen carries one.  Map tasks send the distinct fingerprints of
+   each block of documents, by hash range; owners answer which of them occur in
+   more than one document.  Fingerprints decide only what is not sorted: a window
+   whose fingerprint no other document has cannot repeat.
 2. Consecutive windows with the same shared fingerprint form a segment of at
-   most 2 * WIDTH - GRAM bytes.  Blocks send their distinct segments, with the
-   smallest doc_id that holds each, to the owner of the fingerprint's range.  A
-   fingerprint in more than ``HOT_BLOCKS`` blocks sends its windows one by one
+   most 2 * WIDTH - GRAM bytes.  Blocks send their distinct segments, packed,
+   with the smallest doc_id that holds each, to the owner of the fingerprint's range.
+   A fingerprint in more than ``HOT_BLOCKS`` blocks sends its windows one by one
    instead, to the owner of the window's own hash: a very common passage then
    spreads over all owners.
 3. An owner lays its segments end to end, sorts the suffixes in two stages
@@ -42,8 +43,11 @@ from .suffixes import eight_bytes, reaches, suffix_order
 WIDTH, GRAM = 50, 16
 SPAN = WIDTH - GRAM + 1
 BUCKET_PRINTS = 200_000
-#: Documents in a block: larger blocks hold more repeats of their own and send fewer, longer rows.
-BLOCK_ROWS = 128
+#: Bytes of text in a block (or one document): larger blocks send what they repeat
+#: themselves once, in fewer and longer rows; a task holds a few times as much.
+BLOCK_BYTES = 8 << 20
+#: Windows of a text whose fingerprints are computed at once.
+STRETCH = 1 << 20
 HOT_BLOCKS = 200
 #: Stands for a null doc_id: such rows come after all others.
 LAST = (1 << 63) - 1
@@ -60,10 +64,18 @@ DOC, PRINTS, SHARED, SEGMENTS, PLACES, ANSWERS = range(6)
 
 
 def windows(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one fingerprint: fingerprint, first window, number of windows."""
-    n = len(text) - WIDTH + 1
-    if n <= 0:
+    """Runs of windows with one fingerprint: fingerprint, first window, number of windows.
+
+    A long text goes through in stretches: a run may then come in two parts.
+    """
+    parts = [(p, first + at, n) for at in range(0, max(0, len(text) - WIDTH + 1), STRETCH) for p, first, n in [_windows(text[at : at + STRETCH + WIDTH - 1])]]
+    if not parts:
         return (np.empty(0, np.uint64),) + (np.empty(0, np.int64),) * 2
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _windows(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(text) - WIDTH + 1
     eight = eight_bytes(np.frombuffer(text, np.uint8), 8)
     grams = len(text) - GRAM + 1
     h = mixed(eight[:grams] * _C1 + mixed(eight[8 : 8 + grams] * _C2))
@@ -77,6 +89,14 @@ def windows(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key[first] >> _U(16), first, np.diff(np.append(first, n))
 
 
+def packed(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
 def table(rows: list[tuple]) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else [[]] * len(TYPES)
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, TYPES, strict=True)], names=NAMES)
@@ -99,22 +119,33 @@ def grouped(batches: Iterator[pa.RecordBatch], column: str, fn: Callable) -> Ite
 def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 1, by block: the documents, and one row of distinct fingerprints."""
     blk = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids, texts = batch.column(0).to_pylist(), texts_as_bytes(batch.column(1))
-        rows = [(DOC, blk, i, doc_id, text, None, None, None) for i, (doc_id, text) in enumerate(zip(ids, texts, strict=True))]
-        prints = [windows(x)[0] for x in texts]
-        owner = np.repeat(np.array([LAST if i is None else i for i in ids], np.int64), [len(p) for p in prints])
+    size, prints, owners = 0, [], []
+
+    def summary() -> tuple:
         p = np.concatenate(prints)
+        owner = np.repeat(np.array(owners, np.int64), [len(x) for x in prints])
         order = np.lexsort((owner, p))
         p, owner = p[order], owner[order]
         first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.empty(0, np.int64)
         last = np.append(first[1:], len(p)) - 1
         several = owner[first] != owner[last] if len(p) else np.empty(0, bool)
-        rows.append((PRINTS, blk, 0, None, p[first].tobytes(), several.astype(np.uint8).tobytes(), None, None))
-        yield table(rows)
-        blk += 1
+        steps = np.diff(p[first], prepend=_U(0))
+        return (PRINTS, blk, len(first), None, packed(steps.tobytes()), packed(several.astype(np.uint8).tobytes()), None, None)
+
+    for batch in batches:
+        rows = []
+        for doc_id, text in zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1)), strict=True):
+            if prints and size + len(text) > BLOCK_BYTES:
+                rows.append(summary())
+                blk, size, prints, owners = blk + 1, 0, [], []
+            rows.append((DOC, blk, len(prints), doc_id, text, None, None, None))
+            prints.append(windows(text)[0])
+            owners.append(LAST if doc_id is None else doc_id)
+            size += len(text)
+        if rows:
+            yield table(rows)
+    if prints:
+        yield table([summary()])
 
 
 def bucket_of(prints: np.ndarray, buckets: int) -> np.ndarray:
@@ -123,22 +154,26 @@ def bucket_of(prints: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """A block's fingerprints cut by owner: ``ord`` is the bucket."""
+    """A block's fingerprints cut by owner: ``ord`` is the bucket.
+
+    32 bits of them travel: two that agree there, in one bucket, only send a
+    segment in vain.
+    """
     for batch in batches:
         rows = []
         for row in batch.to_pylist():
-            p, several = np.frombuffer(row["a"], np.uint64), row["b"]
-            if not len(p):
+            if not row["ord"]:
                 continue
+            p, several = np.cumsum(np.frombuffer(unpacked(row["a"], 8 * row["ord"]), np.uint64), dtype=np.uint64), unpacked(row["b"], row["ord"])
             bucket = bucket_of(p, buckets)
             cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(p)]
-            rows += [(PRINTS, row["blk"], int(bucket[i]), None, p[i:j].tobytes(), several[i:j], None, None) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            rows += [(PRINTS, row["blk"], int(bucket[i]), None, p[i:j].astype(np.uint32).tobytes(), several[i:j], None, None) for i, j in zip(cut[:-1], cut[1:], strict=True)]
         yield table(rows)
 
 
 def shared_prints(rows: list[dict]) -> Iterator[pa.RecordBatch]:
     """An owner's answer to each block: 0 unique, 1 shared, 2 in very many blocks."""
-    prints = [np.frombuffer(r["a"], np.uint64) for r in rows]
+    prints = [np.frombuffer(r["a"], np.uint32) for r in rows]
     every, back, blocks = np.unique(np.concatenate(prints), return_inverse=True, return_counts=True)
     several = np.zeros(len(every), bool)
     several[back[np.frombuffer(b"".join(r["b"] for r in rows), np.uint8) > 0]] = True
@@ -191,7 +226,7 @@ def segments(rows: list[dict], buckets: int) -> Iterator[pa.RecordBatch]:
     out = []
     for part in np.split(order, cut):
         own = [pieces[i] for i in part.tolist()]
-        out.append((SEGMENTS, blk, int(bucket[part[0]]), None, b"".join(own), np.array([len(x) for x in own], np.uint8).tobytes(), ids[part].tobytes(), p[part].astype(np.uint32).tobytes()))
+        out.append((SEGMENTS, blk, int(bucket[part[0]]), None, packed(b"".join(own)), np.array([len(x) for x in own], np.uint8).tobytes(), packed(ids[part].tobytes()), p[part].astype(np.uint32).tobytes()))
     place = np.array(places, np.int32).reshape(-1, 4)
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
@@ -233,14 +268,14 @@ def answers(rows: list[dict]) -> Iterator[pa.RecordBatch]:
     counts = []
     for r in rows:
         ends = np.cumsum(np.frombuffer(r["b"], np.uint8).astype(np.int64)).tolist()
-        at, body = 0, r["a"]
+        at, body = 0, unpacked(r["a"], ends[-1])
         for end in ends:
             entry.append(known.setdefault(body[at:end], len(known)))
             at = end
         counts.append(len(ends))
     e = np.array(entry, np.int64)
     least = np.full(len(known), LAST, np.int64)
-    np.minimum.at(least, e, np.frombuffer(b"".join(r["c"] for r in rows), np.int64))
+    np.minimum.at(least, e, np.frombuffer(b"".join(unpacked(r["c"], 8 * len(r["b"])) for r in rows), np.int64))
     prints = np.zeros(len(known), np.uint32)
     prints[e] = np.frombuffer(b"".join(r["d"] for r in rows), np.uint32)
     _, back, alike = np.unique(prints, return_inverse=True, return_counts=True)
@@ -300,17 +335,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     gives an empty result.
     """
     spark = prepare(docs.sparkSession)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK_ROWS))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     blocks = stored(plain.mapInArrow(profile, SCHEMA), "repeat-blocks", ("kind",))
     typed = lambda frame, kind: frame.where(F.col("kind") == kind).select(*NAMES)
     if not blocks.take(1):
         return spark.createDataFrame([], RESULT)
-    total = typed(blocks, PRINTS).agg(F.sum(F.length("a"))).first()[0] // 8
+    total = typed(blocks, PRINTS).agg(F.sum(F.col("ord").cast("long"))).first()[0] or 0
     buckets = max(1, parts, -(-total // BUCKET_PRINTS))
     owned = lambda frame: frame.repartitionById(parts, F.col("ord") % parts).sortWithinPartitions("ord", "blk")
-    by_block = lambda frame: frame.repartition(parts, "blk").sortWithinPartitions("blk", "kind", "ord")
+    turn = (F.shiftright("blk", 32) + F.col("blk").bitwiseAND((1 << 32) - 1)) % parts
+    by_block = lambda frame: frame.repartitionById(parts, turn.cast("int")).sortWithinPartitions("blk", "kind", "ord")
 
     cut = typed(blocks, PRINTS).mapInArrow(lambda it: sliced(it, buckets), SCHEMA)
     shared = stored(owned(cut).mapInArrow(lambda it: grouped(it, "ord", shared_prints), SCHEMA), "repeat-shared")

@@ -92,3 +92,21 @@ def test_equal_windows_have_equal_fingerprints():
 
     x, y = by_window(a), by_window(b)
     assert len(x) == 351 and all(x[w] == y[w] for w in x.keys() & y.keys()) and len(x.keys() & y.keys()) == 151
+
+
+def test_blocks_and_stretches_of_any_size_give_the_same(spark, monkeypatch):
+    rows = corpus(9)
+    want = brute(rows)
+    monkeypatch.setattr(R, "BLOCK_BYTES", 700)
+    monkeypatch.setattr(R, "STRETCH", 90)
+    assert got(spark.createDataFrame(rows, SCHEMA).repartition(3)) == want
+
+
+def test_a_text_of_three_megabytes(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+    text = " ".join(rng.choice(words) for _ in range(400_000))
+    rows = [(1, text), (2, "before it " + text[1_500_000:1_500_400] + " after it"), (3, text)]
+    found = {r.doc_id: r for r in R.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(text) > 2_500_000 and found[1].n_removed == 0 and found[3].n_removed == len(text)
+    assert 400 <= found[2].n_removed <= 420 and bytes(found[2].kept).startswith(b"before it")
