@@ -57,6 +57,39 @@ def test_mix_meets_its_targets(spark, seed):
         assert abs(taken[s] - want[s]) <= max(2, 0.01 * want[s]), (s, taken[s], want[s])
 
 
+def test_rates_tilt_by_size_as_the_dual_says(spark):
+    """Multipliers against bisection by hand; within a source the rate follows the size."""
+    rows = corpus(5)
+    size = {i: len((t or "").split()) for i, _, t, *_ in rows}
+    found = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    several = 0
+    for source in {s for _, s, *_ in rows}:
+        own = [r for r in found if r.source == source and r["size"] > 0]
+        x = np.array([size[r.doc_id] for r in own], float)
+        target = own[0].target
+        if target >= 3 * x.sum() * (1 - 1e-9):
+            assert all(r.rate == 3 for r in own)
+            continue
+        lo, hi = -2000.0, 2000.0
+        value = lambda lam: (x * np.exp(np.minimum(lam * x / x.mean(), math.log(3)))).sum()
+        for _ in range(200):
+            lo, hi = (lo, (lo + hi) / 2) if value((lo + hi) / 2) > target else ((lo + hi) / 2, hi)
+        want = np.exp(np.minimum(lo * x / x.mean(), math.log(3)))
+        assert np.allclose([r.rate for r in own], want, atol=2e-5), source
+        assert all(math.floor(r.rate) <= r["copies"] <= math.floor(r.rate) + 1 for r in own)
+        several += len({r.rate for r in own}) > 5
+    assert several >= 2
+
+
+def test_one_size_a_source_and_one_document(spark):
+    rows = [(i, "a" if i < 60 else "b", "w " * 7, "", "") for i in range(90)] + [(100, "c", "w " * 50, "", "")]
+    found = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = targets_by_hand({"a": 420, "b": 210, "c": 50})
+    for source, most in (("a", 7), ("b", 7), ("c", 50)):
+        taken = sum(r.taken for r in found if r.source == source)
+        assert abs(taken - want[source]) <= most
+
+
 def test_mix_of_repeats_blanks_and_nothing(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []
     blank = mixing.mix(spark.createDataFrame([(1, "a", None, "", ""), (None, None, "", "", "")], SCHEMA)).collect()
@@ -65,11 +98,6 @@ def test_mix_of_repeats_blanks_and_nothing(spark):
     assert [r.taken for r in same] == [2, 2, 2, 2]
 
 
-def test_newton_finds_the_multiplier(spark):
-    got = spark.createDataFrame([(10.0, 30.0), (1e9, 1.0), (7.0, 7.0), (5.0, 1e-3)], "w double, t double").select("w", "t", mixing.newton(*map(__import__("pyspark").sql.functions.col, "wt")).alias("x")).collect()
-    assert all(math.isclose(r.x, math.log(r.t / r.w), abs_tol=1e-9) for r in got)
-
-
 def test_quality_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
