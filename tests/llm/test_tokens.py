@@ -8,6 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from marlstone.llm.packing import pack, padded_length
+from marlstone.llm import token_counts as T
 from marlstone.llm.token_counts import token_counts
 
 SCHEMA = "doc_id long, text string, n_tokens string"
@@ -71,3 +72,28 @@ def test_packing_repeats_and_nothing(spark):
     assert sorted((p.doc_id or -1, p.doc_tokens) for p in pack(frame, path).collect()) == [(-1, 3), (3, 1), (3, 1)]
     assert pack(frame.limit(0), path).collect() == []
     assert [padded_length(n) for n in (1, 3, 512, 2047, 2048)] == [1, 2048, 512, 2048, 2048]
+
+
+def test_cuts_of_odd_strings_equal_the_library(monkeypatch):
+    import random
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, rng = Tokenizer.from_file(path), random.Random(7)
+    assert T.cuts_alike(path) and not T.cuts_alike(public_tokenizers.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(T, "CACHE_PIECES", 50)
+    counter = T.PieceLengths(path, {"the": 1, "s": 1}, True)
+    signs = ["'", "''", "'s", "'ll", "'S", " ", "\t", "\xa0", "\n", "İ", "ı", "ß", "É", "Ÿ", "ſ", "²", "½", "1", "22", "!", "...", "-", "_", "\xad", "×", "÷", "µ", "ª", "\x1c", "\x85", "́", "​", "Ǆ", "Σ", "ς", "日本", "ﬁ", "🙂", "the", "THE", "Don't", "word", "<|", "|>"]
+    for _ in range(4000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(12)))
+        assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids), text
+    for point in range(0x180):
+        for text in (chr(point), f"a{chr(point)}b 1{chr(point)}", f"{chr(point)}{chr(point)}'s"):
+            assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids), text
+
+
+def test_sketch_keeps_what_is_frequent(monkeypatch):
+    monkeypatch.setattr(T, "SKETCH", 100)
+    sketch = T.Sketch()
+    for i in range(3000):
+        sketch.add(["often", f"w{i}", f"v{i}"] + ["second"] * (i % 2))
+    assert len(sketch) <= 101 and [k for k, _ in sketch.most_common(2)] == ["often", "second"] and sketch["often"] >= 3000 - 7500 / 50
