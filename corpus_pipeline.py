@@ -2,14 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept,
 and returns a DataFrame that is written as Parquet and reread as the next
-stage's docs.  All but the last return the columns of ``documents``.  Rows that
-share a doc_id are one document to the stages that decide by doc_id: they stay
-or go together (null ids likewise among themselves).
+stage's docs.  All but the last return the columns of ``documents``.  Decisions
+are by row, so rows that repeat a doc_id, or have none, are told apart: of a
+group of copies exactly one row stays.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +22,22 @@ from marlstone.llm.packing import pack
 from marlstone.llm.quality import accepted, fit
 
 
-def _only(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is kept."""
-    keep = decided.where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with ``__row``, a hash of the row's place in its file: the same whenever
+    it is read.  Two rows of one doc_id that shared it would be told apart by nothing,
+    so it is always compared together with doc_id.  What is not read from files is
+    written first."""
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("__row")
+    try:
+        return docs.select("*", place)
+    except AnalysisException:
+        return stored(docs, "pipeline-rows").select("*", place)
+
+
+def _with(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
+    """docs joined with what was decided by row (doc_id, row, ...)."""
+    named = decided.withColumnsRenamed({"doc_id": "__decided_id", "row": "__decided_row"})
+    return docs.join(named, (F.col("__row") == F.col("__decided_row")) & F.col("doc_id").eqNullSafe(F.col("__decided_id")), how)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,20 +46,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id."""
-    return _only(docs, exact_dedup(docs))
+    """Of equal texts, one row with the largest doc_id."""
+    rows = _numbered(docs)
+    return _with(rows, exact_dedup(rows, row=F.col("__row")).where("first").select("doc_id", "row"), "left_semi").select(docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
-    return _only(docs, near_dedup(docs))
+    """One row of each class of near duplicates."""
+    rows = _numbered(docs)
+    return _with(rows, near_dedup(rows, row=F.col("__row")).where("first").select("doc_id", "row"), "left_semi").select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mix(docs).groupBy(F.col("doc_id").alias("__mix_id")).agg(F.max("copies").alias("__copies"))
-    taken = docs.join(copies.where("__copies > 0"), F.col("doc_id").eqNullSafe(F.col("__mix_id")))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    """Each row as often as the mix takes it."""
+    rows = _numbered(docs)
+    copies = mix(rows, row=F.col("__row")).where("copies > 0").select("doc_id", "row", F.col("copies").alias("__copies"))
+    return _with(rows, copies, "inner").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,11 +5,12 @@
   copies sends one entry per task, however large it is.
 * The directory maps a key's leading bits to a bucket.  It starts with one
   bucket and doubles whenever an overfull bucket's local depth has reached the
-  directory's depth; only the overfull bucket splits.  It is built from counts
-  by key prefix, at most ``2 ** MAX_DEPTH`` numbers.
-* Each bucket, a key range, belongs to one owner task.  It chains entries whose
-  keys collide and compares their bytes, and writes the bucket's groups to the
-  index files in the shared folder.
+  directory's depth; only the overfull bucket splits.  Its shape follows from
+  counts by key prefix (at most ``2 ** PREFIX_BITS`` numbers) in one pass; beyond
+  ``BUCKETS * CAPACITY`` texts buckets grow instead, so its size stays bounded.
+* Buckets are numbered in key order, and every owner task has a run of them: a
+  contiguous key range.  It chains entries whose keys collide and compares their
+  bytes, and writes the buckets' groups to the index files in the shared folder.
 * The rows look their group up by the digest of their text.
 """
 
@@ -18,24 +19,25 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare, stored, texts_as_bytes
 
-#: The directory never has more than 2 ** MAX_DEPTH slots; a bucket that is
-#: still overfull there keeps its entries in longer chains.
-MAX_DEPTH = 16
-#: Entries a bucket holds before it splits.
-CAPACITY = 1024
+#: Leading bits of a key by which entries are counted, and so the directory's
+#: greatest depth; keys are hashes, so a bucket comes nowhere near it.
+PREFIX_BITS = 20
+#: Entries a bucket holds before it splits, as long as that takes BUCKETS at most.
+CAPACITY, BUCKETS = 1024, 1 << 16
 #: Bytes of text that a map task holds to combine copies before it sends them.
 COMBINE_BYTES = 24 << 20
 
-ENTRY_SCHEMA = "bucket int, key long, sha binary, keep_id long, size long, body binary"
-GROUP_SCHEMA = "bucket int, key long, chain int, sha binary, keep_id long, group_size long"
+ENTRY_SCHEMA = "bucket int, key long, sha binary, keep_id long, keep_row long, size long, body binary"
+GROUP_SCHEMA = "bucket int, key long, chain int, sha binary, keep_id long, keep_row long, group_size long"
 
 
 def normalised(text: bytes) -> bytes:
@@ -53,84 +55,76 @@ def slot(key: int, depth: int) -> int:
 
 
 class Directory:
-    """An extendible-hash directory: slot -> (bucket, local depth)."""
-
-    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, max_depth: int = MAX_DEPTH):
-        """counts: entries by the leading max_depth bits of their key."""
-        self.depth, self.max_depth = 0, max_depth
-        self.slots: list[int] = [0]
-        self.local: list[int] = [0]
-        full = [dict(counts)]
-        overfull = [0] if sum(counts.values()) > capacity else []
-        while overfull:
-            bucket = overfull.pop()
-            if self.local[bucket] == max_depth:
-                continue  # chained, not split
-            if self.local[bucket] == self.depth:
-                self.slots = [b for b in self.slots for _ in range(2)]
-                self.depth += 1
-            self.local[bucket] += 1
-            new, level = len(self.local), self.local[bucket]
-            self.local.append(level)
-            moved = {p: n for p, n in full[bucket].items() if p >> (max_depth - level) & 1}
-            full.append(moved)
-            full[bucket] = {p: n for p, n in full[bucket].items() if p not in moved}
-            mine = [i for i, b in enumerate(self.slots) if b == bucket] if self.depth <= 8 else self._range(bucket)
-            for i in mine:
-                if i >> (self.depth - level) & 1:
-                    self.slots[i] = new
-            overfull += [b for b in (bucket, new) if sum(full[b].values()) > capacity]
-
-    def _range(self, bucket: int) -> range:
-        """A bucket's slots are one run; find it by its ends."""
-        first = self.slots.index(bucket)
-        span = 1 << (self.depth - self.local[bucket] + 1)
-        return range(first, first + span)
+    """An extendible-hash directory: slot -> bucket, by the leading ``depth`` bits.
+
+    counts: entries by the leading bits of their key, a power of two of them.  A
+    bucket splits while it holds more than ``capacity`` entries and the counts
+    can tell its halves apart; the directory is as deep as its deepest bucket.
+    """
+
+    def __init__(self, counts: np.ndarray, capacity: int = CAPACITY):
+        levels = [np.asarray(counts, np.int64)]
+        while len(levels[0]) > 1:
+            levels.insert(0, levels[0].reshape(-1, 2).sum(1))
+        local = np.zeros(1, np.int8)  # of every slot, the depth of its bucket
+        self.depth = 0
+        while self.depth + 1 < len(levels) and (full := (local == self.depth) & (levels[self.depth] > capacity)).any():
+            local = np.repeat(np.where(full, self.depth + 1, local), 2).astype(np.int8)
+            self.depth += 1
+        first = np.arange(len(local)) & ((1 << (self.depth - local.astype(np.int64))) - 1) == 0
+        self.slots = (np.cumsum(first) - 1).astype(np.int32)
+        self.local = local[first]
 
     def bucket(self, key: int) -> int:
-        return self.slots[slot(key, self.depth)]
+        return int(self.slots[slot(key, self.depth)])
 
     @property
     def buckets(self) -> int:
         return len(self.local)
 
 
+def larger(one: tuple, other: tuple) -> tuple:
+    """The (doc_id, row) that stays: the larger doc_id, null below all, then the larger row."""
+    rank = lambda x: (x[0] is not None, x[0] or 0, x[1] or 0)
+    return max(one, other, key=rank)
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, key, sha (SHA-256 of the normalised text) of every row, stored."""
+    """doc_id, row, key, sha (SHA-256 of the normalised text) of every row, stored."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [normalised(x) for x in texts_as_bytes(batch.column(1))]
+            texts = [normalised(x) for x in texts_as_bytes(batch.column(2))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([key_of(x) for x in texts], pa.int64()), pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary())],
-                names=["doc_id", "key", "sha"],
+                [batch.column(0), batch.column(1), pa.array([key_of(x) for x in texts], pa.int64()), pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary())],
+                names=["doc_id", "row", "key", "sha"],
             )
 
-    return stored(docs.mapInArrow(digest, "doc_id long, key long, sha binary"), "exact-rows")
+    return stored(docs.mapInArrow(digest, "doc_id long, row long, key long, sha binary"), "exact-rows")
 
 
 def entries(docs: DataFrame, directory: Broadcast, combine_bytes: int = COMBINE_BYTES) -> DataFrame:
-    """bucket, key, sha, keep_id, size, body: copies combined within each map task."""
+    """bucket, key, sha, keep_id, keep_row, size, body: copies combined within each map task."""
 
     def rows(held: dict) -> pa.RecordBatch:
         where = directory.value
-        full = [(where.bucket(key), key, hashlib.sha256(body).digest(), keep, size, body) for (key, body), (keep, size) in held.items()]
-        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*full, strict=True), kinds, strict=True)], names=["bucket", "key", "sha", "keep_id", "size", "body"])
+        full = [(where.bucket(key), key, hashlib.sha256(body).digest(), *keep, size, body) for (key, body), (keep, size) in held.items()]
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*full, strict=True), kinds, strict=True)], names=["bucket", "key", "sha", "keep_id", "keep_row", "size", "body"])
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, bytes], list] = {}
         used = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1)), strict=True):
+            for *own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_as_bytes(batch.column(2)), strict=True):
                 body = normalised(text)
                 at = (key_of(body), body)
                 if at in held:
                     one = held[at]
-                    one[0] = doc_id if one[0] is None else one[0] if doc_id is None else max(one[0], doc_id)
+                    one[0] = larger(one[0], tuple(own))
                     one[1] += 1
                 else:
-                    held[at] = [doc_id, 1]
+                    held[at] = [tuple(own), 1]
                     used += len(body) + 200
                 if used >= combine_bytes:
                     yield rows(held)
@@ -141,12 +135,19 @@ def entries(docs: DataFrame, directory: Broadcast, combine_bytes: int = COMBINE_
     return docs.mapInArrow(combine, ENTRY_SCHEMA)
 
 
-def build_index(docs: DataFrame, rows: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+def directory_of(rows: DataFrame, capacity: int, prefix_bits: int = PREFIX_BITS) -> Directory:
+    """The directory for the distinct keys of these rows."""
+    prefix = F.shiftrightunsigned("key", 64 - prefix_bits).cast("int").alias("p")
+    found = rows.select("key").distinct().groupBy(prefix).agg(F.count("*").alias("n")).toArrow()
+    counts = np.zeros(1 << prefix_bits, np.int64)
+    counts[found["p"].to_numpy()] = found["n"].to_numpy()
+    return Directory(counts, max(capacity, -(-int(counts.sum()) // BUCKETS)))
+
+
+def build_index(docs: DataFrame, rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The index files: one row per distinct text, grouped by bucket."""
     spark = docs.sparkSession
-    prefix = F.shiftrightunsigned("key", 64 - max_depth).cast("int").alias("p")
-    counts = {r.p: r["n"] for r in rows.select("key").distinct().groupBy(prefix).agg(F.count("*").alias("n")).collect()}
-    directory = Directory(counts, capacity, max_depth)
+    directory = directory_of(rows, capacity)
     shared = spark.sparkContext.broadcast(directory)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,25 +155,25 @@ def build_index(docs: DataFrame, rows: DataFrame, capacity: int = CAPACITY, max_
         at, chain, out = None, [], []
 
         def close() -> None:
-            out.extend((*at, i, sha, keep, size) for i, (_, sha, keep, size) in enumerate(chain))
+            out.extend((*at, i, sha, *keep, size) for i, (_, sha, keep, size) in enumerate(chain))
 
         def batch_of() -> pa.RecordBatch:
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "key", "chain", "sha", "keep_id", "group_size"])
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "key", "chain", "sha", "keep_id", "keep_row", "group_size"])
 
         for batch in batches:
-            for bucket, key, sha, keep, size, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for bucket, key, sha, *keep, size, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (bucket, key) != at:
                     if at is not None:
                         close()
                     at, chain = (bucket, key), []
                 for link in chain:
                     if link[0] == body:
-                        link[2] = keep if link[2] is None else link[2] if keep is None else max(link[2], keep)
+                        link[2] = larger(link[2], tuple(keep))
                         link[3] += size
                         break
                 else:
-                    chain.append([body, sha, keep, size])
+                    chain.append([body, sha, tuple(keep), size])
             if len(out) >= 4096:
                 yield batch_of()
                 out = []
@@ -181,12 +182,13 @@ def build_index(docs: DataFrame, rows: DataFrame, capacity: int = CAPACITY, max_
         if out:
             yield batch_of()
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    owned = entries(docs, shared).repartition(min(parts, directory.buckets) if directory.buckets > 1 else 1, "bucket").sortWithinPartitions("bucket", "key")
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), directory.buckets))
+    owner = F.floor(F.col("bucket").cast("long") * parts / directory.buckets).cast("int")
+    owned = entries(docs, shared).repartitionById(parts, owner).sortWithinPartitions("bucket", "key")
     return stored(owned.mapInArrow(own, GROUP_SCHEMA), "exact-index")
 
 
-def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, row: Column | None = None) -> DataFrame:
     """Group equal texts; of each group the row with the largest doc_id stays.
 
     Texts are equal when identical after lower-casing A-Z; null counts as
@@ -194,13 +196,17 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
     text_sha256 (hex digest of the normalised text).  Rows with a null doc_id
     are members of their group but stay only if the whole group's ids are null
     (all its rows then have keep_id null and kept true for each); rows that
-    repeat the kept doc_id are all kept.  Other columns are ignored; an empty
+    repeat the kept doc_id are all kept.  ``row``, a number that no two rows
+    share, adds ``row`` and ``first``: true for exactly one row of each group,
+    of the largest doc_id and then number.  Other columns are ignored; an empty
     table gives an empty result.
     """
     prepare(docs.sparkSession)
-    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    given = F.lit(None).cast("long") if row is None else row.cast("long")
+    plain = docs.select(F.col("doc_id").cast("long"), given.alias("row"), F.col("text").cast("string"))
     rows = digests(plain)
-    index = build_index(plain, rows, capacity, max_depth)
-    return rows.select("doc_id", "sha").join(index.select("sha", "keep_id", "group_size"), "sha").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
-    )
+    index = build_index(plain, rows, capacity)
+    columns = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")]
+    if row is not None:
+        columns += ["row", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row") == F.col("keep_row"))).alias("first")]
+    return rows.select("doc_id", "row", "sha").join(index.select("sha", "keep_id", "keep_row", "group_size"), "sha").select(*columns)

@@ -100,3 +100,21 @@ def test_run_returns_the_last_stage(spark, stages):
     got = P.run(spark, "/root/testdata/sf0.01")
     assert got.columns == stages[1][-1].columns
     assert got.groupBy("doc_id", "start").count().orderBy("doc_id", "start").collect() == stages[1][-1].groupBy("doc_id", "start").count().orderBy("doc_id", "start").collect()
+
+
+def test_stages_on_null_and_repeated_ids_extra_columns_and_nothing(spark):
+    sf = "/root/testdata/sf0.001"
+    known = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = [r.text for r in known.where("length(text) between 300 and 900").orderBy("doc_id").limit(6).collect()]
+    rows = [(1, texts[0], "a"), (1, texts[0], "a"), (None, texts[1], None), (None, texts[1], None), (None, texts[1] + " end", "b"), (2, texts[2], "b"), (2, texts[3], "b"), (3, None, "b"), (4, "", "a"), (5, None, None)]
+    odd = spark.createDataFrame([(i, t, "en", s, 0, "extra", "row") for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars int, row string, component_id string")
+    exact, near = dict(P.STAGES)["exact dedup"](spark, odd, sf), dict(P.STAGES)["MinHash near-dedup" if "MinHash near-dedup" in dict(P.STAGES) else "minhash near-dedup"]
+    assert exact.columns == odd.columns
+    assert sorted(((r.doc_id, r.text or "") for r in exact.collect()), key=str) == sorted([(1, texts[0]), (None, texts[1]), (None, texts[1] + " end"), (2, texts[2]), (2, texts[3]), (5, "")], key=str)
+    left = near(spark, odd, sf)
+    assert left.columns == odd.columns and left.where(F.col("text") == texts[0]).count() == 1 and left.where("doc_id is null").count() == 1 and left.where("coalesce(text, '') = ''").count() == 3
+    mixed = dict(P.STAGES)["mixing to target weights"](spark, odd, sf)
+    assert mixed.columns == odd.columns and mixed.groupBy("doc_id", "text", "source").count().where("count > 6").count() == 0
+    none = odd.limit(0)
+    for name, stage in P.STAGES:
+        assert stage(spark, none, sf).count() == 0, name
