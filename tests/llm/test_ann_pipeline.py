@@ -99,7 +99,9 @@ def test_stages_keep_the_columns_and_their_rules(spark, stages):
 def test_run_returns_the_last_stage(spark, stages):
     got = P.run(spark, "/root/testdata/sf0.01")
     assert got.columns == stages[1][-1].columns
-    assert got.groupBy("doc_id", "start").count().orderBy("doc_id", "start").collect() == stages[1][-1].groupBy("doc_id", "start").count().orderBy("doc_id", "start").collect()
+    # Where documents are cut follows the order of rows in files; what is packed does not.
+    whole = lambda frame: frame.groupBy("doc_id").agg(F.sum("length"), F.min("doc_tokens")).orderBy("doc_id").collect()
+    assert whole(got) == whole(stages[1][-1])
 
 
 def test_stages_on_null_and_repeated_ids_extra_columns_and_nothing(spark):
