@@ -147,13 +147,13 @@ def nearest(quantiser: Quantiser, q_ids: np.ndarray, q: np.ndarray, codes: np.nd
             chosen = np.broadcast_to(np.arange(len(x)), (len(part), len(x)))
         exact = inner(part[:, None], x[chosen])
         for i, row in enumerate(np.argsort(-exact, axis=1, kind="stable")):
-            own, found, last = q_ids[first + i], [], None
+            found, last = [], None
             for j in row:
                 if len(found) >= k and exact[i, j] < last:
                     break
                 last = exact[i, j]
-                found += [(-last, v) for v in ids[chosen[i, j]] if v != own]
-            out += [(own, v, -s) for s, v in heapq.nsmallest(k, found)]
+                found += [(-last, v) for v in ids[chosen[i, j]]]
+            out += [(q_ids[first + i], v, -s) for s, v in heapq.nsmallest(k, found)]
     return out
 
 
@@ -214,6 +214,13 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
     return stored(combined.repartition(parts, "vec").sortWithinPartitions("vec").mapInArrow(merge, schema), "ann-vectors")
 
 
+def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """query_id and its vector's bytes as distinct_vectors() writes them."""
+    for batch in batches:
+        rows = [(i, (np.array(v, np.float64) + 0.0).tobytes()) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if v is not None and None not in v]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([v for _, v in rows], pa.binary())], names=["query_id", "vec"])
+
+
 def search(embeddings: DataFrame, every: int = 20, k: int = K, eta: float = ETA, rerank: int = RERANK, index_block: int = INDEX_BLOCK) -> DataFrame:
     """The k nearest rows by inner product for every row whose id is divisible by ``every``.
 
@@ -223,10 +230,11 @@ def search(embeddings: DataFrame, every: int = 20, k: int = K, eta: float = ETA,
     are ignored; without vectors the result is empty.
     """
     spark = prepare(embeddings.sparkSession)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
     index = distinct_vectors(rows, k + 1)
-    queries = distinct_vectors(rows.where(F.col("vec_id") % every == 0), 1 << 40).select("vec", F.explode("ids").alias("query_id"))
+    # Each distinct vector is searched once, under its smallest id; its other queries share what it finds.
+    asked = rows.where(F.col("vec_id") % every == 0)
+    queries = distinct_vectors(asked, 1).select("vec", F.element_at("ids", 1).alias("query_id"))
     n, n_queries = index.count(), queries.count()
     empty = "query_id long, rank int, vec_id long, score double"
     if not n or not n_queries:
@@ -248,7 +256,7 @@ def search(embeddings: DataFrame, every: int = 20, k: int = K, eta: float = ETA,
             q = np.frombuffer(b"".join(left.column("vec").to_pylist())).reshape(left.num_rows, -1)
             x = np.frombuffer(b"".join(right.column("vec").to_pylist())).reshape(right.num_rows, -1)
             codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(right.num_rows, -1)
-            found = nearest(shared.value, left.column("query_id").to_numpy(), q, codes, x, right.column("ids").to_pylist(), k, rerank)
+            found = nearest(shared.value, left.column("query_id").to_numpy(), q, codes, x, right.column("ids").to_pylist(), k + 1, rerank)
         columns = list(zip(*found, strict=True)) or [[], [], []]
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
@@ -260,4 +268,7 @@ def search(embeddings: DataFrame, every: int = 20, k: int = K, eta: float = ETA,
     left = left.select("vec", "query_id", (F.col("other") * query_blocks + F.col("mine")).alias("unit"))
     met = left.groupBy("unit").cogroup(right.groupBy("unit")).applyInArrow(meet, "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1).select(F.col("query_id").alias("first_id"), "vec_id", "score")
+    members = asked.mapInArrow(as_bytes, "query_id long, vec binary").join(queries.withColumnRenamed("query_id", "first_id"), "vec").select("query_id", "first_id").distinct()
+    shared_best = members.join(best, "first_id").where("vec_id <> query_id")
+    return shared_best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

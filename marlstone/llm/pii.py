@@ -16,7 +16,9 @@ A text without a digit and without ``@`` is passed over after one scan.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,8 +30,11 @@ from .common import prepare, texts_as_str
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "natphone")
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: An address is found from its @ outwards, and IP numbers in whole dotted runs:
+#: a search from every letter or digit would take the square of a long run.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
@@ -80,8 +85,32 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
-def valid_ip(m: re.Match) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``."""
+    free = at = 0
+    while (at := text.find("@", at)) >= 0:
+        start = at
+        while start > free and text[start - 1] in LOCAL:
+            start -= 1
+        if start < at and (m := DOMAIN.match(text, at)):
+            yield start, m.end()
+            free = m.end()
+        else:
+            free = at + 1
+        at += 1
+
+
+def ips(text: str) -> Iterator[tuple[int, int]]:
+    """Four parts of at most 255: matches of ``[0-9]+(\\.[0-9]+){3}`` take a run's parts by fours."""
+    for m in DOTTED.finditer(text):
+        parts = m[0].split(".")
+        start = m.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            end = start + sum(map(len, four)) + 3
+            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+                yield start, end
+            start = end + 1
 
 
 def valid_card(m: re.Match) -> bool:
@@ -118,11 +147,16 @@ def valid_natphone(m: re.Match) -> bool:
     return 9 <= len(NOT_DIGIT.sub("", m[0])) <= 12
 
 
-#: kind, pattern, validator, and whether a digit (else an @) must be in the text.
-RULES = (
-    ("email", EMAIL, None), ("ip", IP, valid_ip), ("card", CARD, valid_card), ("phone", PHONE, valid_phone),
-    ("ssn", SSN, valid_ssn), ("natphone", NATPHONE, valid_natphone),
-)
+def matches(pattern: re.Pattern, valid: Callable[[re.Match], bool], text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in pattern.finditer(text) if valid(m)]
+
+
+def apart(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that overlap none of those taken."""
+    order = sorted(taken)
+    starts = [s for s, _ in order]
+    furthest = list(accumulate((e for _, e in order), max))
+    return [(s, e) for s, e in spans if not (n := bisect_left(starts, e)) or furthest[n - 1] <= s]
 
 
 def score(kind: str, text: str, start: int, end: int) -> float:
@@ -141,22 +175,20 @@ def find_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int,
     digits = DIGIT.search(text) is not None
     found = []
     if "@" in text:
-        found = [("email", m.start(), m.end(), score("email", text, *m.span())) for m in EMAIL.finditer(text)]
+        found = [("email", *at, score("email", text, *at)) for at in emails(text)]
     if digits:
-        for kind, pattern, valid in RULES[1:4]:
-            if kind == "phone" and "+" not in text or kind == "ip" and "." not in text:
-                continue
-            found += [(kind, *m.span(), score(kind, text, *m.span())) for m in pattern.finditer(text) if valid(m)]
-        taken = sorted((s, e) for _, s, e, _ in found)
+        base = {"ip": ips(text) if "." in text else (), "card": matches(CARD, valid_card, text), "phone": matches(PHONE, valid_phone, text) if "+" in text else ()}
+        found += [(kind, *at, score(kind, text, *at)) for kind, spans in base.items() for at in spans]
+        taken = [(s, e) for _, s, e, _ in found]
         for s, e in ibans(text):
             if (x := score("iban", text, s, e)) >= threshold:
                 found.append(("iban", s, e, x))
                 taken.append((s, e))
-        for kind, pattern, valid in RULES[4:]:
-            for m in pattern.finditer(text):
-                if valid(m) and not any(s < m.end() and m.start() < e for s, e in taken) and (x := score(kind, text, *m.span())) >= threshold:
-                    found.append((kind, *m.span(), x))
-                    taken.append(m.span())
+        for kind, pattern, valid in (("ssn", SSN, valid_ssn), ("natphone", NATPHONE, valid_natphone)):
+            for at in apart(matches(pattern, valid, text), taken):
+                if (x := score(kind, text, *at)) >= threshold:
+                    found.append((kind, *at, x))
+                    taken.append(at)
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

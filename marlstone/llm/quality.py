@@ -8,8 +8,9 @@ vector; gated attention (tanh times sigmoid) gives each passage a weight; the
 weighted mean passes through a logistic output.  All weights are learned
 together from the document labels.
 
-Training uses at most ``TRAIN_DOCS`` labelled documents, the ones whose hashed
-doc_id comes first, on the driver; its memory does not depend on the corpus.
+Training uses at most ``TRAIN_DOCS`` labelled documents and ``TRAIN_BYTES`` of
+their passages, the ones whose hashed doc_id comes first, on the driver; its
+memory does not depend on the corpus.  Every passage of such a document counts.
 Scoring broadcasts the weights (under 100 KB) and maps over all documents.
 """
 
@@ -22,15 +23,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import prepare, texts_as_bytes
 
 PASSAGE = 512
 TRAIN_DOCS = 4000
-#: A training document's passages beyond so many are merged with those before
-#: (every passage counts; the bound is on the driver's memory).
-TRAIN_PASSAGES = 64
+#: Bytes of encoded passages (0.42 of the text) that training takes at most, whole
+#: documents in the same order: the bound on the driver's memory.
+TRAIN_BYTES = 256 << 20
 HIDDEN, ATTENTION, EPOCHS, RATE, DECAY, SEED = 24, 12, 60, 0.01, 1e-4, 7
 THRESHOLD = 0.7
 HELD_OUT, FOLDS = 2, 4
@@ -116,6 +118,28 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def gradients(w: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Scores of a batch of bags (rows of x from each start on), and the gradients
+    of their weighted log loss by all weights."""
+    bag = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(x))))
+    h = np.tanh(x @ w["enc"] + w["enc_b"])
+    tv, su = np.tanh(h @ w["v"]), _sigmoid(h @ w["u"])
+    gate = tv * su
+    a = gate @ w["a"]
+    a = np.exp(a - np.maximum.reduceat(a, starts)[bag])
+    a /= np.add.reduceat(a, starts)[bag]
+    pooled = np.add.reduceat(a[:, None] * h, starts)
+    p = _sigmoid(pooled @ w["out"] + w["out_b"])
+    dz = ((p - labels) * weight).astype(w["out"].dtype)
+    up = (dz[:, None] * w["out"])[bag]
+    dot = (up * h).sum(1)
+    da = a * (dot - np.add.reduceat(a * dot, starts)[bag])
+    dgate = da[:, None] * w["a"]
+    dv, du = dgate * su * (1 - tv**2), dgate * tv * su * (1 - su)
+    dh = (a[:, None] * up + dv @ w["v"].T + du @ w["u"].T) * (1 - h**2)
+    return p, {"enc": x.T @ dh, "enc_b": dh.sum(0), "v": h.T @ dv, "u": h.T @ du, "a": gate.T @ da, "out": pooled.T @ dz, "out_b": dz.sum(keepdims=True)}
+
+
 def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
     """Learn all weights by Adam on batches of documents, classes balanced."""
     rng = np.random.default_rng(SEED)
@@ -137,25 +161,8 @@ def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> M
             ids = order[first : first + 128]
             sizes = np.array([len(bags[i]) for i in ids])
             starts = np.cumsum(sizes) - sizes
-            bag = np.repeat(np.arange(len(ids)), sizes)
             x = (np.concatenate([bags[i] for i in ids]) - mean) / spread
-            h = np.tanh(x @ w["enc"] + w["enc_b"])
-            tv, su = np.tanh(h @ w["v"]), _sigmoid(h @ w["u"])
-            gate = tv * su
-            a = gate @ w["a"]
-            a = np.exp(a - np.maximum.reduceat(a, starts)[bag])
-            a /= np.add.reduceat(a, starts)[bag]
-            pooled = np.add.reduceat(a[:, None] * h, starts)
-            p = _sigmoid(pooled @ w["out"] + w["out_b"])
-            dz = ((p - labels[ids]) * weight[ids] / len(ids)).astype(np.float32)
-            dpool = dz[:, None] * w["out"]
-            up = dpool[bag]
-            dot = (up * h).sum(1)
-            da = a * (dot - np.add.reduceat(a * dot, starts)[bag])
-            dgate = da[:, None] * w["a"]
-            dv, du = dgate * su * (1 - tv**2), dgate * tv * su * (1 - su)
-            dh = (a[:, None] * up + dv @ w["v"].T + du @ w["u"].T) * (1 - h**2)
-            grads = {"enc": x.T @ dh, "enc_b": dh.sum(0), "v": h.T @ dv, "u": h.T @ du, "a": gate.T @ da, "out": pooled.T @ dz, "out_b": dz.sum(keepdims=True)}
+            _, grads = gradients(w, x, starts, labels[ids], weight[ids] / len(ids))
             t += 1
             rate = RATE * (1 - epoch / epochs) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
             for k, g in grads.items():
@@ -189,15 +196,15 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
         for batch in batches:
             bags = []
             for text in texts_as_bytes(batch.column(2)):
-                x = encode(text)
-                if len(x) > TRAIN_PASSAGES:
-                    x = np.array([part.mean(0) for part in np.array_split(x, TRAIN_PASSAGES)])
-                bags.append(np.round(x * 255).clip(0, 255).astype(np.uint8).tobytes())
+                bags.append(np.round(encode(text) * 255).clip(0, 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.binary())], names=["doc_id", "quality", "bag"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chosen = texts.join(F.broadcast(known), "doc_id").select("doc_id", "quality", "text").mapInArrow(encoded, "doc_id long, quality int, bag binary")
-    rows = sorted(chosen.collect(), key=lambda r: (r.doc_id, bytes(r.bag)))
+    # A doc_id may stand in many rows: the bounds hold for rows.
+    first = [F.xxhash64(F.lit(SEED), "doc_id", "bag"), F.col("doc_id")]
+    bounded = chosen.orderBy(*first).limit(train_docs).withColumn("upto", F.sum(F.length("bag")).over(W.orderBy(*first).rowsBetween(W.unboundedPreceding, 0)))
+    rows = sorted(bounded.where(F.col("upto") <= TRAIN_BYTES).collect(), key=lambda r: (r.doc_id, bytes(r.bag)))
     label = np.array([r.quality for r in rows], np.float32)
     if not rows or label.min() == label.max():
         return None

@@ -51,10 +51,18 @@ RULES = (
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", lambda t: t.contains("eyJ")),
 )
 
+#: Matches of a text whose offsets are added up in one array.
+STRETCH = 64
+
 SPAN = "struct<start: int, rank: int, end: int, kind: string, rule: string>"
 LEDGER = f"blob string, rules array<string>, spans array<{SPAN}>"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed a single time, though use may name it often."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     """The accepted matches of one rule, with code-point offsets."""
     none = F.array().cast(f"array<{SPAN}>")
@@ -63,14 +71,25 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
         lambda gap, hit: F.struct(F.length(gap).alias("skip"), F.length(hit).alias("n"), (hit.isNotNull() & (rule.accept(hit) if rule.accept else F.lit(True))).alias("good")),
     )
 
-    def step(acc: Column, turn: Column) -> Column:
+    def one(acc: Column, turn: Column) -> Column:
         start = acc["at"] + turn["skip"]
         end = start + F.coalesce(turn["n"], F.lit(0))
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"), F.lit(rule.name).alias("rule"))
         return F.struct(end.alias("at"), F.when(turn["good"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).cast(f"array<{SPAN}>").alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(rule.maybe(text), F.aggregate(turns, zero, step, lambda acc: acc["out"])).otherwise(none)
+    def stretches(every: Column) -> Column:
+        """By stretches of STRETCH turns, so that no array grows turn by turn over a whole text."""
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / STRETCH).cast("int")), lambda i: F.slice(every, i * STRETCH + 1, F.lit(STRETCH)))
+        return once(parts, placed)
+
+    def placed(parts: Column) -> Column:
+        lengths = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda n, turn: n + turn["skip"] + F.coalesce(turn["n"], F.lit(0))))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        begins = F.aggregate(lengths, zero, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        own = lambda p, at: F.aggregate(p, F.struct(at.alias("at"), none.alias("out")), one, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(parts, begins, own))
+
+    return F.when(rule.maybe(text), once(turns, stretches)).otherwise(none)
 
 
 def read_ledger(docs: DataFrame, ledger: str) -> DataFrame:
@@ -98,7 +117,8 @@ def secret_spans(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule,
     One row per input row.  A null text counts as empty.  Null and repeated
     doc_ids pass through; other columns are ignored; an empty table stays
     empty.  ``ledger`` is a Parquet path that later runs may share; without it
-    a fresh one is kept in the shared folder.
+    a fresh one is kept in the shared folder.  A blob that two runs appended at
+    the same time counts once.
     """
     ledger = ledger or new_table(docs.sparkSession, "blob-ledger")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -106,7 +126,7 @@ def secret_spans(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule,
     current = F.array(*(F.lit(r.name) for r in rules))
     known = (
         read_ledger(docs, ledger).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("all"))
-        .select("blob", F.array_sort(F.filter("all", lambda s: F.array_contains(current, s["rule"]))).alias("spans"))
+        .select("blob", F.array_sort(F.array_distinct(F.filter("all", lambda s: F.array_contains(current, s["rule"])))).alias("spans"))
     )
     known = stored(known, "secret-findings")  # joined as a table of its own, so that a hot blob's rows can be split
     paths = plain.select("doc_id", F.sha2("text", 256).alias("blob"))

@@ -132,3 +132,57 @@ def test_attention_sums_to_one():
     model = quality.train(bags, np.arange(40) % 2, epochs=2)
     score, attention = model.score(bags[0])
     assert 0 <= score <= 1 and math.isclose(attention.sum(), 1, rel_tol=1e-5)
+
+
+def test_score_equals_a_loop_and_gradients_equal_differences():
+    rng = np.random.default_rng(3)
+    f, hid, att = quality.FEATURES, 5, 4
+    w = {"enc": rng.normal(0, 0.1, (f, hid)), "enc_b": rng.normal(0, 0.1, hid), "v": rng.normal(0, 1, (hid, att)), "u": rng.normal(0, 1, (hid, att)), "a": rng.normal(0, 1, att), "out": rng.normal(0, 1, hid), "out_b": np.array([0.2])}
+    mean, spread = rng.normal(0, 0.1, f), rng.uniform(0.5, 2, f)
+    model = quality.Model(mean, spread, w)
+    bags = [rng.normal(0, 1, (n, f)) for n in (1, 4, 7)]
+
+    def by_hand(bag):
+        sig = lambda z: 1 / (1 + math.exp(-z))
+        hs, logits = [], []
+        for row in bag:
+            x = [(row[j] - mean[j]) / spread[j] for j in range(f)]
+            h = [math.tanh(sum(x[j] * w["enc"][j][k] for j in range(f)) + w["enc_b"][k]) for k in range(hid)]
+            gate = [math.tanh(sum(h[k] * w["v"][k][m] for k in range(hid))) * sig(sum(h[k] * w["u"][k][m] for k in range(hid))) for m in range(att)]
+            hs.append(h)
+            logits.append(sum(gate[m] * w["a"][m] for m in range(att)))
+        total = sum(math.exp(z) for z in logits)
+        pooled = [sum(math.exp(z) / total * h[k] for z, h in zip(logits, hs, strict=True)) for k in range(hid)]
+        return sig(sum(pooled[k] * w["out"][k] for k in range(hid)) + w["out_b"][0])
+
+    want = [by_hand(b) for b in bags]
+    assert np.allclose([model.score(b)[0] for b in bags], want, atol=1e-9)
+    x, starts = (np.concatenate(bags) - mean) / spread, np.array([0, 1, 5])
+    labels, weight = np.array([1.0, 0.0, 1.0]), np.array([0.5, 0.2, 0.3])
+    p, grads = quality.gradients(w, x, starts, labels, weight)
+    assert np.allclose(p, want, atol=1e-9)
+
+    def loss():
+        q = quality.gradients(w, x, starts, labels, weight)[0]
+        return -(weight * (labels * np.log(q) + (1 - labels) * np.log(1 - q))).sum()
+
+    for name, g in grads.items():
+        for at in rng.integers(0, w[name].size, 4):
+            flat = w[name].reshape(-1)
+            old = flat[at]
+            flat[at] = old + 1e-5
+            up = loss()
+            flat[at] = old - 1e-5
+            assert abs((up - loss()) / 2e-5 - g.reshape(-1)[at]) < 1e-6, name
+            flat[at] = old
+
+
+def test_a_label_of_many_rows_and_long_texts_stays_bounded(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_BYTES", 40 * quality.FEATURES)
+    seen = {}
+    monkeypatch.setattr(quality, "train", lambda bags, labels: seen.update(n=len(bags), rows=sum(map(len, bags))))
+    ids = [i for i in range(40) if not quality.held_out_of(i)][:20]
+    rows = [(i, f"text {i} {k} " * 80) for i in ids for k in range(30)]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, train_docs=100)
+    assert seen["n"] <= 100 and seen["rows"] <= 40

@@ -1,7 +1,9 @@
 """Personal data and secrets against plain per-text scans."""
 
 import hashlib
+import random
 import re
+import time
 
 import pytest
 
@@ -140,3 +142,34 @@ def test_an_iban_stands_beside_a_card_inside_it():
             assert kinds == ["iban", "card"]
             return
     raise AssertionError("no such number")
+
+
+def test_scans_from_the_at_and_the_dots_equal_the_patterns():
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rng = random.Random(12)
+    small = lambda m: all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))
+    for _ in range(20000):
+        text = "".join(rng.choice(["a", "b.", "@", "@c.d", ".", "-", " ", "1", "22", "256", "0007", "é"]) for _ in range(rng.randrange(14)))
+        assert list(pii.emails(text)) == [m.span() for m in email.finditer(text)], text
+        assert list(pii.ips(text)) == [m.span() for m in ip.finditer(text) if small(m)], text
+
+
+def test_long_runs_take_no_square_of_time():
+    began = time.process_time()
+    for text in ("a" * 1_000_000, "1" * 1_000_000, "1." * 500_000, "x@" * 300_000, "078-05-1120 phone 030 1234567 " * 8000, "+1" + " (" * 300_000):
+        pii.find_spans(text)
+    assert time.process_time() - began < 60
+
+
+def test_many_secrets_in_one_text_and_a_blob_appended_twice(spark, tmp_path):
+    text = " ".join(f"token=abcdef{i} plain" for i in range(5000))
+    ledger = f"file://{tmp_path}/twice"
+    found = secrets.secret_spans(frame(spark, [text, "a secret=ghijkl"]), ledger).collect()
+    spans = found[0].spans if len(found[0].spans) > 1 else found[1].spans
+    assert [(s.start, s.end) for s in spans] == [m.span() for m in re.finditer(r"token=[a-z0-9]+", text)]
+    spark.read.parquet(ledger).write.mode("append").parquet(ledger + "-copy")
+    for _ in range(2):
+        spark.read.parquet(ledger + "-copy").write.mode("append").parquet(ledger)
+    again = {r.doc_id: r.n_assign for r in secrets.digest_columns(secrets.secret_spans(frame(spark, [text, "a secret=ghijkl"]), ledger)).collect()}
+    assert sorted(again.values()) == [1, 5000]
