@@ -42,10 +42,10 @@ from .suffixes import eight_bytes, reaches, suffix_order
 
 WIDTH, GRAM = 50, 16
 SPAN = WIDTH - GRAM + 1
-BUCKET_PRINTS = 200_000
+BUCKET_PRINTS = 50_000
 #: Bytes of text in a block (or one document): larger blocks send what they repeat
 #: themselves once, in fewer and longer rows; a task holds a few times as much.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 #: Windows of a text whose fingerprints are computed at once.
 STRETCH = 1 << 20
 HOT_BLOCKS = 200
