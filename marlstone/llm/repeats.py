@@ -16,7 +16,7 @@ every byte fifty times, so the suffixes that can matter are found first:
    A fingerprint in more than ``HOT_BLOCKS`` blocks sends its windows one by one
    instead, to the owner of the window's own hash: a very common passage then
    spreads over all owners.
-3. An owner lays its segments end to end, sorts the suffixes in two stages
+3. An owner lays segments of a range of fingerprints end to end, sorts the suffixes in two stages
    (``suffixes.py``), and takes neighbours whose common prefix reaches WIDTH as
    one group; the smallest doc_id of a group decides which windows repeat.
 4. The answers return to the blocks, which cut their documents.
@@ -42,7 +42,10 @@ from .suffixes import eight_bytes, reaches, suffix_order
 
 WIDTH, GRAM = 50, 16
 SPAN = WIDTH - GRAM + 1
-BUCKET_PRINTS = 50_000
+#: Fingerprints whose owner is one bucket: rows between blocks and owners stay long.
+BUCKET_PRINTS = 1_000_000
+#: Segments that an owner sorts at once, and more only while their fingerprint is one.
+SORTED = 16_000
 #: Bytes of text in a block (or one document): larger blocks send what they repeat
 #: themselves once, in fewer and longer rows; a task holds a few times as much.
 BLOCK_BYTES = 3 << 20
@@ -220,13 +223,13 @@ def segments(rows: list[dict], buckets: int) -> Iterator[pa.RecordBatch]:
         return
     p = np.array(prints, np.uint64)
     bucket = bucket_of(p, buckets)
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(p, kind="stable")
     pieces, ids = list(known), np.array(least, np.int64)
     cut = np.flatnonzero(np.diff(bucket[order])) + 1
     out = []
     for part in np.split(order, cut):
         own = [pieces[i] for i in part.tolist()]
-        out.append((SEGMENTS, blk, int(bucket[part[0]]), None, packed(b"".join(own)), np.array([len(x) for x in own], np.uint8).tobytes(), packed(ids[part].tobytes()), p[part].astype(np.uint32).tobytes()))
+        out.append((SEGMENTS, blk, int(bucket[part[0]]), None, packed(b"".join(own)), np.array([len(x) for x in own], np.uint8).tobytes(), packed(ids[part].tobytes()), packed(np.diff(p[part].astype(np.uint32), prepend=np.uint32(0)).tobytes())))
     place = np.array(places, np.int32).reshape(-1, 4)
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
@@ -277,12 +280,16 @@ def answers(rows: list[dict]) -> Iterator[pa.RecordBatch]:
     least = np.full(len(known), LAST, np.int64)
     np.minimum.at(least, e, np.frombuffer(b"".join(unpacked(r["c"], 8 * len(r["b"])) for r in rows), np.int64))
     prints = np.zeros(len(known), np.uint32)
-    prints[e] = np.frombuffer(b"".join(r["d"] for r in rows), np.uint32)
+    prints[e] = np.concatenate([np.cumsum(np.frombuffer(unpacked(r["d"], 4 * len(r["b"])), np.uint32), dtype=np.uint32) for r in rows])
     _, back, alike = np.unique(prints, return_inverse=True, return_counts=True)
     several = np.flatnonzero(alike[back] > 1)  # alone, a segment has nothing to be compared with
     pieces = list(known)
     mask = np.zeros(len(known), np.int64)
-    mask[several] = repeated_windows([pieces[i] for i in several.tolist()], least[several])
+    several = several[np.argsort(prints[several], kind="stable")]
+    first = np.flatnonzero(np.concatenate([[True], prints[several][1:] != prints[several][:-1]])) if len(several) else np.empty(0, np.int64)
+    cuts = first[np.flatnonzero(np.diff(first // SORTED, prepend=0))]
+    for part in np.split(several, cuts):
+        mask[part] = repeated_windows([pieces[i] for i in part.tolist()], least[part])
     cut = np.cumsum(counts)[:-1]
     done = zip(rows, np.split(least[e], cut), np.split(mask[e], cut), strict=True)
     yield table([(ANSWERS, r["blk"], r["ord"], None, m.tobytes(), w.tobytes(), None, None) for r, m, w in done])

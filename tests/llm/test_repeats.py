@@ -99,6 +99,7 @@ def test_blocks_and_stretches_of_any_size_give_the_same(spark, monkeypatch):
     want = brute(rows)
     monkeypatch.setattr(R, "BLOCK_BYTES", 700)
     monkeypatch.setattr(R, "STRETCH", 90)
+    monkeypatch.setattr(R, "SORTED", 7)
     assert got(spark.createDataFrame(rows, SCHEMA).repartition(3)) == want
 
 
