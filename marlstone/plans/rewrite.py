@@ -13,7 +13,7 @@ from .policy import Refused, table_name
 from .tree import parser, sequence
 
 WRAPPERS = ("GlobalLimit", "LocalLimit", "Offset", "Sort", "UnresolvedHaving")
-CELL_CUSTOMERS, CELL_ROWS = "_cell_customers", "_cell_rows"
+CELL_CUSTOMERS, CELL_ROWS, CELL_DIM = "_cell_customers", "_cell_rows", "_cell_dim_"
 
 
 def frame_of(session: SparkSession, jplan) -> DataFrame:
@@ -72,18 +72,38 @@ def rebuilt(session: SparkSession, above: list, inner) -> object:
     return inner
 
 
-def with_minimum(session: SparkSession, sql: str, k: int, counts: bool = False) -> DataFrame:
+def grouped_by(cell, dims: int) -> list[str]:
+    """SQL of the grouping's ``dims`` expressions, in the order of the GROUP BY."""
+    items = sequence(cell.aggregateExpressions())
+    bare = lambda e: e.child() if _name(e) in ("Alias", "UnresolvedAlias") else e
+    found = []
+    for e in sequence(cell.groupingExpressions()):
+        if _name(e) in ("Literal", "UnresolvedOrdinal"):
+            place = int(str(e.value() if _name(e) == "Literal" else e.ordinal()))
+            found.append(bare(items[place - 1]).sql())
+        elif _name(e) == "UnresolvedAttribute" and e.sql().strip("`").upper() == "ALL" and dims != 1:
+            found += [bare(x).sql() for x in items if "(" not in bare(x).sql()]
+        else:
+            found.append(e.sql())
+    if len(found) != dims:
+        raise Refused("small_cell_unplaceable")
+    return found
+
+
+def with_minimum(session: SparkSession, sql: str, k: int, counts: int | None = None) -> DataFrame:
     """The statement with ``count(DISTINCT customer) >= k`` on its grouping.
 
     The condition is ANDed into the statement's own HAVING and so comes before
-    its ORDER BY and LIMIT.  With ``counts`` every row also tells its cell's
+    its ORDER BY and LIMIT.  With ``counts``, the number of its grouping
+    expressions, every row also ends with their values as text and its cell's
     customers and rows, for the differencing guard.
     """
     parse = parser(session)
     above, cell = cell_of(parse.parsePlan(sql))
     key = user_key(sequence(cell.children())[0])
-    if counts:
-        extra = [parse.parseExpression(f"count(DISTINCT {key}) AS {CELL_CUSTOMERS}"), parse.parseExpression(f"count(*) AS {CELL_ROWS}")]
+    if counts is not None:
+        extra = [parse.parseExpression(f"CAST({e} AS STRING) AS {CELL_DIM}{i}") for i, e in enumerate(grouped_by(cell, counts))]
+        extra += [parse.parseExpression(f"count(DISTINCT {key}) AS {CELL_CUSTOMERS}"), parse.parseExpression(f"count(*) AS {CELL_ROWS}")]
         named = _seq(session, sequence(cell.aggregateExpressions()) + extra)
         cell = cell.copy(cell.groupingExpressions(), named, cell.child(), cell.hint())
     enough = parse.parseExpression(f"count(DISTINCT {key}) >= {int(k)}")
@@ -95,11 +115,11 @@ def with_minimum(session: SparkSession, sql: str, k: int, counts: bool = False)
 
 
 def population(session: SparkSession, sql: str) -> DataFrame:
-    """One row, ``customers``: how many people an ungrouped statement is about."""
+    """One row, ``customers`` and ``n``: the people and rows an ungrouped statement is about."""
     parse = parser(session)
     above, cell = cell_of(parse.parsePlan(sql), "Project")
     if any(_name(n) == "UnresolvedHaving" for n in above):
         raise Refused("small_cell_unplaceable")
     key = user_key(sequence(cell.children())[0])
-    counted = parse.parseExpression(f"count(DISTINCT {key}) AS customers")
-    return frame_of(session, cell.copy(_seq(session, [counted]), cell.child()))
+    counted = [parse.parseExpression(f"count(DISTINCT {key}) AS customers"), parse.parseExpression("count(*) AS n")]
+    return frame_of(session, cell.copy(_seq(session, counted), cell.child()))

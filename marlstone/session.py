@@ -76,7 +76,13 @@ class GovernedSession:
         self.failures = 0
 
     def statement_key(self, sql: str) -> str:
-        return hashlib.sha256(f"{self.scope.key}\x1f{text.normal_form(sql)}".encode()).hexdigest()
+        return hashlib.sha256(f"{self.scope.key}\x1f{self.data_version()}\x1f{text.normal_form(sql)}".encode()).hexdigest()
+
+    def data_version(self) -> str:
+        """Names, sizes and times of the tables' files: another one after new data."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.sf_dir)
+        files = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+        return ",".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in files))
 
     def decide(self, sql: str) -> policy.Decision:
         decision = policy.check_sql(self.spark, sql, self.shadow)
@@ -84,20 +90,21 @@ class GovernedSession:
             return policy.Decision(False, "customer_grain")
         return decision
 
-    def frame(self, sql: str, counts: bool = False) -> DataFrame:
+    def frame(self, sql: str) -> DataFrame:
         """The governed DataFrame; raises ``policy.Refused``."""
         decision = self.decide(sql)
         if not decision.allowed:
             raise policy.Refused(decision.reason)
-        plain = policy._unqualified(sql, policy.parsed(self.spark, sql))
-        if not decision.facts.uses_qi:
-            return self.bound.sql(plain)
-        if decision.facts.grouped:
-            return rewrite.with_minimum(self.bound, plain, self.k, counts)
-        if rewrite.population(self.bound, plain).first().customers < self.k:
+        plain = self._plain(sql)
+        if decision.facts.uses_qi and decision.facts.grouped:
+            return rewrite.with_minimum(self.bound, plain, self.k)
+        if decision.facts.uses_qi and rewrite.population(self.bound, plain).first().customers < self.k:
             raise policy.Refused("small_cell_unplaceable")
         return self.bound.sql(plain)
 
+    def _plain(self, sql: str) -> str:
+        return policy._unqualified(sql, policy.parsed(self.spark, sql))
+
     def cancel(self) -> None:
         """Stop the statement that runs, from any thread."""
         self.bound.interruptTag(self.tag)
@@ -128,23 +135,33 @@ class GovernedSession:
         decision = self.decide(sql)
         if not decision.allowed:
             raise policy.Refused(decision.reason)
-        frame = self.frame(sql, counts=True)
+        facts = decision.facts
+        grouped = facts.uses_qi and facts.grouped
         if key in self.memo:
-            columns, rows = self.memo[key]
+            columns, rows, people = self.memo[key]
             self.memo.move_to_end(key)
         else:
-            refused = self.budget.reserve(estimate(frame))
-            if refused:
+            plain, people = self._plain(sql), None
+            if facts.uses_qi and not grouped:
+                counted = rewrite.population(self.bound, plain)
+                if refused := self.budget.reserve(estimate(counted)):
+                    return self._failed(refused)
+                people = self._collected(counted)[0]
+                if people[0] < self.k:
+                    raise policy.Refused("small_cell_unplaceable")
+            frame = rewrite.with_minimum(self.bound, plain, self.k, len(facts.grouping)) if grouped else self.bound.sql(plain)
+            if refused := self.budget.reserve(estimate(frame)):
                 return self._failed(refused)
             columns, rows = frame.columns, self._collected(frame)
-            self.memo[key] = (columns, rows)
+            self.memo[key] = (columns, rows, people)
             if len(self.memo) > MEMO:
                 self.memo.popitem(last=False)
         truncated = len(rows) > ROW_CAP
-        if decision.facts.uses_qi and decision.facts.grouped:
-            if not self.store.check_and_record(self._fingerprint(decision.facts, columns, rows, truncated), self.k):
-                raise policy.Refused("differencing")
-            columns, rows = columns[:-2], [r[:-2] for r in rows]
+        if facts.uses_qi and not self.store.check_and_record(self._fingerprint(facts, rows, truncated, people), self.k):
+            raise policy.Refused("differencing")
+        if grouped:
+            hidden = len(facts.grouping) + 2
+            columns, rows = columns[:-hidden], [r[:-hidden] for r in rows]
         self.turn.add(key)
         self.failures = 0
         data = [{c: safe(v) for c, v in zip(names(columns), r, strict=True)} for r in rows[:ROW_CAP]]
@@ -161,14 +178,16 @@ class GovernedSession:
             timer.cancel()
             self.bound.removeTag(self.tag)
 
-    def _fingerprint(self, facts: policy.Facts, columns: list[str], rows: list[tuple], truncated: bool) -> Fingerprint:
-        shown = [d for d, _ in facts.dims]
+    def _fingerprint(self, facts: policy.Facts, rows: list[tuple], truncated: bool, people: tuple | None) -> Fingerprint:
+        """What the answer tells.  An ungrouped one tells a single cell: all it is about."""
+        if people is not None:
+            return Fingerprint(self.user, self.scope.key, (), facts.filters, {(): people[0]}, {(): people[1]}, False, self.store.clock())
+        shown = [d for d, _ in facts.grouping]
         cells, sizes = {}, {}
         for r in rows:
-            said = dict(zip(columns, r, strict=True))
-            labels = [v for v in r[:-2] if isinstance(v, (str, date, datetime)) or v is None][: len(shown)]
-            cell = tuple(sorted(zip(shown, (self.store.digest(v) for v in labels), strict=False)))
-            cells[cell], sizes[cell] = said[rewrite.CELL_CUSTOMERS], said[rewrite.CELL_ROWS]
+            *labels, customers, n = r[len(r) - len(shown) - 2 :]
+            cell = tuple(sorted((d, self.store.digest("null" if v is None else f"={v}")) for d, v in zip(shown, labels, strict=True)))
+            cells[cell], sizes[cell] = customers, n
         return Fingerprint(self.user, self.scope.key, facts.dims, facts.filters, cells, sizes, facts.cut or truncated, self.store.clock())
 
 

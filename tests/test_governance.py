@@ -77,8 +77,9 @@ def test_small_cells_are_hidden_inside_having_order_and_limit(spark):
     with pytest.raises(policy.Refused):
         s.frame("SELECT count(*) AS n FROM users WHERE balance > 1e12 AND country IS NOT NULL")
     assert s.frame("SELECT count(*) AS n FROM users WHERE balance > 0 AND country IS NOT NULL").first().n > 5
-    counted = rewrite.with_minimum(s.bound, "SELECT u.country, count(*) AS n FROM users u GROUP BY u.country", 5, counts=True)
-    assert counted.columns == ["country", "n", rewrite.CELL_CUSTOMERS, rewrite.CELL_ROWS] and all(r.n == r._cell_rows for r in counted.collect())
+    counted = rewrite.with_minimum(s.bound, "SELECT u.country, count(*) AS n FROM users u GROUP BY u.country", 5, counts=1)
+    assert counted.columns == ["country", "n", rewrite.CELL_DIM + "0", rewrite.CELL_CUSTOMERS, rewrite.CELL_ROWS]
+    assert all(r.n == r._cell_rows and r.country == r._cell_dim_0 for r in counted.collect())
 
 
 def test_session_envelope_duplicates_budget_and_failures(spark, sf_dir):
@@ -163,3 +164,23 @@ def test_store_expires_isolates_and_erases():
 def test_cells_and_names():
     assert names(["a", "a", "b", "a"]) == ["a", "a_2", "b", "a_3"]
     assert safe(float("nan")) is None and safe(b"x") == "[binary]" and safe({"a": ["mail a@b.co"]}) == {"a": ["mail <EMAIL>"]}
+
+
+def leaks(spark, one, two):
+    """Whether one session answers both statements."""
+    s = GovernedSession(spark, "/root/testdata/sf0.01", Scope(everything=True))
+    answers = [s.run_sql(one), s.run_sql(two)]
+    assert answers[0]["ok"], answers[0]
+    return answers[1]["ok"], answers[1].get("error", {}).get("code")
+
+
+def test_totals_that_differ_by_a_customer_are_refused(spark):
+    assert leaks(spark, "SELECT count(*) AS n FROM users WHERE balance > 4003.839", "SELECT count(*) AS n FROM users WHERE balance > 4003.841") == (False, "differencing")
+    assert leaks(spark, "SELECT count(*) AS n FROM users WHERE balance > 0", "SELECT count(*) AS n FROM users WHERE balance > 4000") == (True, None)
+
+
+def test_numeric_cells_that_differ_by_a_customer_are_refused(spark):
+    by = "SELECT floor(u.balance / 2000) AS band, count(*) AS n FROM users u WHERE u.balance > {} GROUP BY floor(u.balance / 2000)"
+    assert leaks(spark, by.format(4003.839), by.format(4003.841)) == (False, "differencing")
+    ordinal = "SELECT floor(u.balance / 2000) AS band, count(*) AS n FROM users u WHERE u.balance > {} GROUP BY 1"
+    assert leaks(spark, ordinal.format(4003.839), by.format(4003.841)) == (False, "differencing")
