@@ -11,9 +11,12 @@
    grow with the rows of a bucket, not with their square.
 4. Pairs are confirmed on the full sets, and the links contracted to
    components by alternating large and small stars.
-5. A text may be similar to members of a bucket but not to its centre.  So the
-   nodes of buckets that still span components are searched once more, exactly:
-   every pair of sets that reaches the similarity shares a shingle among the
+5. A text may be similar to members of a bucket but not to its centre.  Buckets
+   that still span components take ``TURNS`` more stars, each around a node drawn
+   by a hash of bucket and turn, so the buckets of one family try many centres
+   and pairs stay below the rows of the buckets.
+6. What no star links is settled exactly, over the nodes of buckets that still
+   span components: every pair of sets that reaches the similarity shares a shingle among the
    rarest of either, and its place there bounds how much they can share.  Only
    pairs of different components that pass that bound are tested, and of a
    bucket's largest component no two members meet.
@@ -41,6 +44,8 @@ ROWS, BANDS = 6, 40
 BINS = ROWS * BANDS
 #: A link: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 85
+#: Further stars before the exact search.  More of them only leave it less to do.
+TURNS = 3
 CACHE_WORDS = 200_000
 SEED = 11
 
@@ -189,9 +194,24 @@ def confirmed(pairs: DataFrame, whole: DataFrame, similarity: int) -> DataFrame:
     return stored(both.select("a", "b", "ha", "hb").mapInArrow(check, "a long, b long"), "near-links")
 
 
+def rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, node, root: the bucket rows with their components."""
+    return members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def drawn_stars(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """a < b: the nodes of each bucket that spans components with one of its nodes,
+    drawn anew for each turn, where their components differ."""
+    placed = rooted(members, roots)
+    draw = F.min(F.struct(F.xxhash64("key", "node", F.lit(turn)).alias("order"), "node", "root")).alias("centre")
+    centres = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), draw).where("lo < hi").select("key", "centre")
+    apart = placed.join(centres, "key").where(F.col("root") != F.col("centre.root"))
+    return apart.select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct()
+
+
 def open_nodes(members: DataFrame, roots: DataFrame) -> DataFrame:
     """node, root of the nodes in buckets that span components."""
-    placed = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = rooted(members, roots)
     spans = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     return placed.join(spans, "key", "left_semi").select("node", "root").distinct()
 
@@ -259,6 +279,11 @@ def components(links: DataFrame) -> DataFrame:
         edges = stored(small, "near-edges")
 
 
+def joined_up(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """a, b: the edges of these components and further links."""
+    return roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a < b").unionByName(links)
+
+
 def near_dedup(docs: DataFrame, similarity: int = SIMILARITY, row: Column | None = None) -> DataFrame:
     """Classes of documents that links of the given similarity connect.
 
@@ -281,12 +306,14 @@ def near_dedup(docs: DataFrame, similarity: int = SIMILARITY, row: Column | None
     whole = full_sets(rows, members.select("node").distinct())
     links = confirmed(members.where("a < node").select("a", F.col("node").alias("b")).distinct(), whole, similarity)
     stars = components(links)
+    for turn in range(TURNS):
+        stars = components(joined_up(stars, confirmed(drawn_stars(members, stars, turn), whole, similarity)))
     prefixes = rare_prefixes(whole, open_nodes(members, stars), similarity)
     discard(members)
     found = confirmed(rest_of_pairs(prefixes, similarity), whole, similarity)
     discard(prefixes)
     discard(whole)
-    roots = components(stars.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a < b").unionByName(found))
+    roots = components(joined_up(stars, found))
     of_set = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = of_set.join(of_set.groupBy("root").agg(F.min("least").alias("component")), "root").select("s1", "s2", "component", F.lit(True).alias("known"))
     out = rows.select("doc_id", "given", "n", "s1", "s2").join(named, ["s1", "s2"], "left")

@@ -132,3 +132,15 @@ def test_links_apart_from_every_star_are_found(spark):
         own = range(10 + family * 6, 300, 45)
         rows += [(1 + family * 20 + k, text(f"f{family}", own) + f" end{family}{k}", "", "") for k in range(5)]
     assert sorted(map(tuple, N.near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()), key=str) == brute(rows)
+
+
+def test_drawn_stars_pair_each_bucket_row_once(spark):
+    """At most one pair a row, none within a component, other centres in other buckets and turns."""
+    members = spark.createDataFrame([(k, n) for k in range(30) for n in range(40)] + [(99, 1), (99, 2)], "key long, node long")
+    roots = spark.createDataFrame([(n, n % 2) for n in range(40) if n != 2] + [(2, 1)], "node long, root long")
+    of = {r.node: r.root for r in roots.collect()}
+    turns = [{(r.a, r.b) for r in N.drawn_stars(members, roots, t).collect()} for t in range(2)]
+    for pairs in turns:
+        assert pairs and all(a < b and of[a] != of[b] and {a, b} != {1, 2} for a, b in pairs)
+        assert len(pairs) <= 30 * 21 and len({n for p in pairs for n in p}) == 40
+    assert turns[0] != turns[1]
