@@ -29,6 +29,7 @@ joined, never gathered, so a hot bucket can be split between tasks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -279,9 +280,9 @@ def components(links: DataFrame) -> DataFrame:
         edges = stored(small, "near-edges")
 
 
-def joined_up(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """a, b: the edges of these components and further links."""
-    return roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a < b").unionByName(links)
+def joined_up(roots: DataFrame) -> DataFrame:
+    """a, b: the edges that hold these components together."""
+    return roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a < b")
 
 
 def near_dedup(docs: DataFrame, similarity: int = SIMILARITY, row: Column | None = None) -> DataFrame:
@@ -306,14 +307,14 @@ def near_dedup(docs: DataFrame, similarity: int = SIMILARITY, row: Column | None
     whole = full_sets(rows, members.select("node").distinct())
     links = confirmed(members.where("a < node").select("a", F.col("node").alias("b")).distinct(), whole, similarity)
     stars = components(links)
-    for turn in range(TURNS):
-        stars = components(joined_up(stars, confirmed(drawn_stars(members, stars, turn), whole, similarity)))
+    more = [confirmed(drawn_stars(members, stars, turn), whole, similarity) for turn in range(TURNS)]
+    stars = components(reduce(DataFrame.unionByName, more, joined_up(stars)))
     prefixes = rare_prefixes(whole, open_nodes(members, stars), similarity)
     discard(members)
     found = confirmed(rest_of_pairs(prefixes, similarity), whole, similarity)
     discard(prefixes)
     discard(whole)
-    roots = components(joined_up(stars, found))
+    roots = components(joined_up(stars).unionByName(found))
     of_set = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = of_set.join(of_set.groupBy("root").agg(F.min("least").alias("component")), "root").select("s1", "s2", "component", F.lit(True).alias("known"))
     out = rows.select("doc_id", "given", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
