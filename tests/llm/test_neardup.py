@@ -135,12 +135,21 @@ def test_links_apart_from_every_star_are_found(spark):
 
 
 def test_drawn_stars_pair_each_bucket_row_once(spark):
-    """At most one pair a row, none within a component, other centres in other buckets and turns."""
+    """At most one pair a row and star, none within a component, more with more stars."""
     members = spark.createDataFrame([(k, n) for k in range(30) for n in range(40)] + [(99, 1), (99, 2)], "key long, node long")
     roots = spark.createDataFrame([(n, n % 2) for n in range(40) if n != 2] + [(2, 1)], "node long, root long")
     of = {r.node: r.root for r in roots.collect()}
-    turns = [{(r.a, r.b) for r in N.drawn_stars(members, roots, t).collect()} for t in range(2)]
-    for pairs in turns:
+    stars = [{(r.a, r.b) for r in N.drawn_stars(members, roots, turns).collect()} for turns in (1, 2)]
+    for turns, pairs in enumerate(stars, 1):
         assert pairs and all(a < b and of[a] != of[b] and {a, b} != {1, 2} for a, b in pairs)
-        assert len(pairs) <= 30 * 21 and len({n for p in pairs for n in p}) == 40
-    assert turns[0] != turns[1]
+        assert len(pairs) <= turns * 30 * 21 and len({n for p in pairs for n in p}) == 40
+    assert stars[0] < stars[1]
+
+
+def test_stars_are_told_from_other_shapes(spark):
+    def told(*edges):
+        return N.all_stars(spark.createDataFrame(edges, "a long, b long"))
+
+    assert told((0, 1), (0, 2), (5, 6))
+    assert not told((0, 1), (1, 2)) and not told((0, 2), (1, 2)) and not told((0, 1), (0, 2), (1, 2))
+    assert N.all_stars(spark.createDataFrame([], "a long, b long"))
