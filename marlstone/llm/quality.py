@@ -140,11 +140,21 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray, label
     return p, {"enc": x.T @ dh, "enc_b": dh.sum(0), "v": h.T @ dv, "u": h.T @ du, "a": gate.T @ da, "out": pooled.T @ dz, "out_b": dz.sum(keepdims=True)}
 
 
+def _features(bag: np.ndarray) -> np.ndarray:
+    return bag.astype(np.float32) / 255 if bag.dtype == np.uint8 else bag
+
+
 def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
-    """Learn all weights by Adam on batches of documents, classes balanced."""
+    """Learn all weights by Adam on batches of documents, classes balanced.
+
+    Bags may stay in bytes, as they travelled; only a batch at a time becomes
+    floats, so the driver holds one byte per feature of the training set.
+    """
     rng = np.random.default_rng(SEED)
-    flat = np.concatenate(bags)
-    mean, spread = flat.mean(0), flat.std(0) + 0.02
+    n = sum(map(len, bags))
+    mean = sum(_features(x).sum(0, dtype=np.float64) for x in bags) / n
+    spread = np.sqrt(sum(((_features(x) - mean) ** 2).sum(0) for x in bags) / n) + 0.02
+    mean, spread = mean.astype(np.float32), spread.astype(np.float32)
     w = {
         "enc": rng.normal(0, FEATURES**-0.5, (FEATURES, HIDDEN)), "enc_b": np.zeros(HIDDEN),
         "v": rng.normal(0, HIDDEN**-0.5, (HIDDEN, ATTENTION)), "u": rng.normal(0, HIDDEN**-0.5, (HIDDEN, ATTENTION)),
@@ -161,7 +171,7 @@ def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> M
             ids = order[first : first + 128]
             sizes = np.array([len(bags[i]) for i in ids])
             starts = np.cumsum(sizes) - sizes
-            x = (np.concatenate([bags[i] for i in ids]) - mean) / spread
+            x = (np.concatenate([_features(bags[i]) for i in ids]) - mean) / spread
             _, grads = gradients(w, x, starts, labels[ids], weight[ids] / len(ids))
             t += 1
             rate = RATE * (1 - epoch / epochs) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
@@ -170,7 +180,7 @@ def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> M
                 m1[k] += 0.1 * (g - m1[k])
                 m2[k] += 0.001 * (g * g - m2[k])
                 w[k] = (w[k] - rate * m1[k] / (np.sqrt(m2[k]) + 1e-8)).astype(np.float32)
-    return Model(mean.astype(np.float32), spread.astype(np.float32), w)
+    return Model(mean, spread, w)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -208,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
     label = np.array([r.quality for r in rows], np.float32)
     if not rows or label.min() == label.max():
         return None
-    return train([np.frombuffer(r.bag, np.uint8).reshape(-1, FEATURES).astype(np.float32) / 255 for r in rows], label)
+    return train([np.frombuffer(r.bag, np.uint8).reshape(-1, FEATURES) for r in rows], label)
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
