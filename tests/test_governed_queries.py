@@ -25,3 +25,7 @@ def against_oracle(spark, name):
 def test_small_cells_without_counts_by_one_expression(spark):
     assert rewrite.CELL_DIM + "0" not in QUERIES["users_by_country_k5"].run(spark, SF).columns
     assert against_oracle(spark, "users_by_country_k5")
+
+
+def test_small_cells_without_counts_by_two_expressions(spark):
+    assert against_oracle(spark, "users_by_country_segment_k5")
