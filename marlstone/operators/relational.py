@@ -98,10 +98,15 @@ def join_exists(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("join_not_in", "JOIN-8", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 40)")
 def join_not_in(spark: SparkSession, sf: str) -> DataFrame:
-    """NOT IN over a list that holds a null keeps nothing; null keys are kept only by an empty list."""
+    """NOT IN over a list that holds a null keeps nothing; null keys are kept only by an empty list.
+
+    As NOT IN it would be planned as a broadcast of the whole list.
+    """
     part(spark, sf).createOrReplaceTempView("part_for_not_in")
-    lineitem(spark, sf).createOrReplaceTempView("lineitem_for_not_in")
-    return spark.sql("SELECT p_partkey FROM part_for_not_in WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem_for_not_in WHERE l_quantity < 40)")
+    lineitem(spark, sf).where("l_quantity < 40").select("l_partkey").createOrReplaceTempView("list_for_not_in")
+    return spark.sql("""
+        SELECT p_partkey FROM part_for_not_in LEFT ANTI JOIN (SELECT DISTINCT l_partkey FROM list_for_not_in) ON p_partkey = l_partkey
+        WHERE NOT EXISTS (SELECT 1 FROM list_for_not_in WHERE l_partkey IS NULL) AND (p_partkey IS NOT NULL OR NOT EXISTS (SELECT 1 FROM list_for_not_in))""")
 
 
 # -- projections and filters -----------------------------------------------------
