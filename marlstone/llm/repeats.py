@@ -21,8 +21,10 @@ every byte fifty times, so the suffixes that can matter are found first:
    one group; the smallest doc_id of a group decides which windows repeat.
 4. The answers return to the blocks, which cut their documents.
 
-Every table between the steps lies in the shared folder, and is removed once
-the next one is written.
+Documents travel packed by block.  Segments go from blocks to owners in one
+shuffle and are never written besides; where they stand rides along to the
+answers.  The tables between the other steps lie in the shared folder, and are
+removed once the next one is written.
 """
 
 from __future__ import annotations
@@ -120,10 +122,28 @@ def grouped(batches: Iterator[pa.RecordBatch], column: str, fn: Callable) -> Ite
         yield from fn(held)
 
 
+def packed_docs(blk: int, docs: list[tuple]) -> tuple:
+    """A block's documents as one row: ``ord`` counts them, ``doc_id`` their bytes."""
+    body = b"".join(text for _, text in docs)
+    numbers = np.array([(len(text), doc_id or 0, doc_id is None) for doc_id, text in docs], np.int64)
+    return (DOC, blk, len(docs), len(body), packed(body), packed(np.ascontiguousarray(numbers.T).tobytes()), None, None)
+
+
+def unpacked_docs(rows: list[dict]) -> list[tuple]:
+    """doc_id and text of a block's documents, in their order."""
+    found = []
+    for r in rows:
+        if r["kind"] == DOC:
+            sizes, ids, null = np.frombuffer(unpacked(r["b"], 24 * r["ord"]), np.int64).reshape(3, -1)
+            body, ends = unpacked(r["a"], r["doc_id"]), np.cumsum(sizes)
+            found += [(None if x else i, body[e - n : e]) for i, x, e, n in zip(ids.tolist(), null.tolist(), ends.tolist(), sizes.tolist(), strict=True)]
+    return found
+
+
 def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 1, by block: the documents, and one row of distinct fingerprints."""
+    """Step 1, by block: one row of documents, and one of distinct fingerprints."""
     blk = TaskContext.get().partitionId() << 32
-    size, prints, owners = 0, [], []
+    size, prints, owners, docs = 0, [], [], []
 
     def summary() -> tuple:
         p = np.concatenate(prints)
@@ -137,19 +157,16 @@ def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return (PRINTS, blk, len(first), None, packed(steps.tobytes()), packed(several.astype(np.uint8).tobytes()), None, None)
 
     for batch in batches:
-        rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1)), strict=True):
             if prints and size + len(text) > BLOCK_BYTES:
-                rows.append(summary())
-                blk, size, prints, owners = blk + 1, 0, [], []
-            rows.append((DOC, blk, len(prints), doc_id, text, None, None, None))
+                yield table([packed_docs(blk, docs), summary()])
+                blk, size, prints, owners, docs = blk + 1, 0, [], [], []
+            docs.append((doc_id, text))
             prints.append(windows(text)[0])
             owners.append(LAST if doc_id is None else doc_id)
             size += len(text)
-        if rows:
-            yield table(rows)
     if prints:
-        yield table([summary()])
+        yield table([packed_docs(blk, docs), summary()])
 
 
 def bucket_of(prints: np.ndarray, buckets: int) -> np.ndarray:
@@ -187,11 +204,12 @@ def shared_prints(rows: list[dict]) -> Iterator[pa.RecordBatch]:
 
 
 def segments(rows: list[dict], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Step 2: a block's distinct segments by owner, and where they stand."""
+    """Step 2: a block's distinct segments by owner, and where they stand, by any
+    owner (``doc_id`` counts the places)."""
     state = np.frombuffer(b"".join(r["a"] for r in rows if r["kind"] == SHARED), np.uint8)
-    docs = [r for r in rows if r["kind"] == DOC]
+    docs = unpacked_docs(rows)
     blk = rows[0]["blk"]
-    runs = [windows(d["a"]) for d in docs]
+    runs = [windows(text) for _, text in docs]
     every = np.unique(np.concatenate([r[0] for r in runs])) if runs else np.empty(0, np.uint64)
     known: dict[bytes, int] = {}
     bucket: list[int] = []
@@ -199,27 +217,26 @@ def segments(rows: list[dict], buckets: int) -> Iterator[pa.RecordBatch]:
     least: list[int] = []
     places: list[tuple[int, int, int, int]] = []
 
-    def add(piece: bytes, fp: int, at: int, n: int, doc: dict) -> None:
-        owner = LAST if doc["doc_id"] is None else doc["doc_id"]
+    def add(piece: bytes, fp: int, at: int, n: int, ord_: int) -> None:
+        owner = LAST if docs[ord_][0] is None else docs[ord_][0]
         e = known.setdefault(piece, len(known))
         if e == len(prints):
             prints.append(fp)
             least.append(owner)
         elif owner < least[e]:
             least[e] = owner
-        places.append((e, doc["ord"], at, n))
+        places.append((e, ord_, at, n))
 
-    for doc, (fps, first, n) in zip(docs, runs, strict=True):
+    for ord_, ((_, text), (fps, first, n)) in enumerate(zip(docs, runs, strict=True)):
         flag = state[np.searchsorted(every, fps)]
-        text = doc["a"]
         use = np.flatnonzero(flag)
         for f, s, at, k in zip(flag[use].tolist(), fps[use].tolist(), first[use].tolist(), n[use].tolist(), strict=True):
             if f == 1:
-                add(text[at : at + k + WIDTH - 1], s, at, k, doc)
+                add(text[at : at + k + WIDTH - 1], s, at, k, ord_)
             else:
                 for j in range(at, at + k):
                     piece = text[j : j + WIDTH]
-                    add(piece, xxhash.xxh64_intdigest(piece) >> 16, j, 1, doc)
+                    add(piece, xxhash.xxh64_intdigest(piece) >> 16, j, 1, ord_)
     if not known:
         return
     p = np.array(prints, np.uint64)
@@ -236,7 +253,7 @@ def segments(rows: list[dict], buckets: int) -> Iterator[pa.RecordBatch]:
     rank[order] = np.arange(len(order), dtype=np.int32)
     place[:, 0] = rank[place[:, 0]]
     place[:, 2] = np.diff(place[:, 2], prepend=np.int32(0))
-    out.append((PLACES, blk, len(place), None, packed(np.ascontiguousarray(place.T).tobytes()), None, None, None))
+    out.append((PLACES, blk, ((blk >> 32) + (blk & 0xFFFFFFFF)) % buckets, len(place), packed(np.ascontiguousarray(place.T).tobytes()), None, None, None))
     for i in range(0, len(out), 64):
         yield table(out[i : i + 64])
 
@@ -267,7 +284,13 @@ def repeated_windows(pieces: list[bytes], owner: np.ndarray) -> np.ndarray:
 
 
 def answers(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    """Step 3, by owner: each segment's smallest doc_id and its repeated windows."""
+    """Step 3, by owner: each segment's smallest doc_id and its repeated windows; places pass."""
+    passing = [r for r in rows if r["kind"] == PLACES]
+    for r in passing:
+        yield table([tuple(r[c] for c in NAMES)])
+    rows = [r for r in rows if r["kind"] == SEGMENTS]
+    if not rows:
+        return
     known: dict[bytes, int] = {}
     entry: list[int] = []
     counts = []
@@ -302,8 +325,8 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 def cut_documents(rows: list[dict]) -> Iterator[pa.RecordBatch]:
     """Step 4, by block: remove the bytes that repeated windows cover."""
-    docs = sorted((r for r in rows if r["kind"] == DOC), key=lambda r: r["ord"])
-    sizes = np.array([len(d["a"]) for d in docs])
+    docs = unpacked_docs(rows)
+    sizes = np.array([len(text) for _, text in docs])
     starts = np.cumsum(sizes + 1) - sizes - 1
     change = np.zeros(int(sizes.sum()) + len(docs) + 1, np.int32)
     places = [r for r in rows if r["kind"] == PLACES]
@@ -311,9 +334,9 @@ def cut_documents(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         back = [r for r in rows if r["kind"] == ANSWERS]
         least = np.frombuffer(b"".join(r["a"] for r in back), np.int64)
         mask = np.frombuffer(b"".join(r["b"] for r in back), np.int64)
-        e, ord_, at, n = np.frombuffer(unpacked(places[0]["a"], 16 * places[0]["ord"]), np.int32).reshape(4, -1).astype(np.int64)
+        e, ord_, at, n = np.frombuffer(unpacked(places[0]["a"], 16 * places[0]["doc_id"]), np.int32).reshape(4, -1).astype(np.int64)
         at = np.cumsum(at)
-        owner = np.array([LAST if d["doc_id"] is None else d["doc_id"] for d in docs], np.int64)[ord_]
+        owner = np.array([LAST if doc_id is None else doc_id for doc_id, _ in docs], np.int64)[ord_]
         at = at + starts[ord_]
         whole = owner > least[e]
         np.add.at(change, at[whole], 1)
@@ -325,13 +348,13 @@ def cut_documents(rows: list[dict]) -> Iterator[pa.RecordBatch]:
             np.add.at(change, on + WIDTH, -1)
     gone = np.cumsum(change) > 0
     ids, removed, spans, kept = [], [], [], []
-    for d, start, size in zip(docs, starts.tolist(), sizes.tolist(), strict=True):
+    for (doc_id, text), start, size in zip(docs, starts.tolist(), sizes.tolist(), strict=True):
         own = gone[start : start + size]
         n = int(own.sum())
-        ids.append(d["doc_id"])
+        ids.append(doc_id)
         removed.append(n)
         spans.append(int(own[0]) + int((own[1:] & ~own[:-1]).sum()) if n else 0)
-        kept.append(np.frombuffer(d["a"], np.uint8)[~own].tobytes() if n else d["a"])
+        kept.append(np.frombuffer(text, np.uint8)[~own].tobytes() if n else text)
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=[x.split()[0] for x in RESULT.split(", ")])
 
 
@@ -361,11 +384,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     shared = stored(owned(cut).mapInArrow(lambda it: grouped(it, "ord", shared_prints), SCHEMA), "repeat-shared")
     discard(blocks, f"kind={PRINTS}")
     found = by_block(typed(blocks, DOC).unionByName(shared)).mapInArrow(lambda it: grouped(it, "blk", lambda rows: segments(rows, buckets)), SCHEMA)
-    found = stored(found, "repeat-segments", ("kind",))
+    back = stored(owned(found).mapInArrow(lambda it: grouped(it, "ord", answers), SCHEMA), "repeat-answers")
     discard(shared)
-    if not found.take(1):
-        return typed(blocks, DOC).select("doc_id", F.length("a").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("a").alias("kept"))
-    back = stored(owned(typed(found, SEGMENTS)).mapInArrow(lambda it: grouped(it, "ord", answers), SCHEMA), "repeat-answers")
-    discard(found, f"kind={SEGMENTS}")
-    everything = typed(blocks, DOC).unionByName(typed(found, PLACES)).unionByName(back)
-    return by_block(everything).mapInArrow(lambda it: grouped(it, "blk", cut_documents), RESULT)
+    return by_block(typed(blocks, DOC).unionByName(back)).mapInArrow(lambda it: grouped(it, "blk", cut_documents), RESULT)

@@ -111,3 +111,20 @@ def test_a_text_of_three_megabytes(spark):
     found = {r.doc_id: r for r in R.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(text) > 2_500_000 and found[1].n_removed == 0 and found[3].n_removed == len(text)
     assert 400 <= found[2].n_removed <= 420 and bytes(found[2].kept).startswith(b"before it")
+
+
+def test_segments_are_not_stored_besides_their_shuffle(spark, monkeypatch):
+    """The segments alone may outweigh the input: one copy on disk, not two."""
+    labels, plain = [], R.stored
+    monkeypatch.setattr(R, "stored", lambda frame, label, *a: labels.append(label) or plain(frame, label, *a))
+    rows = corpus(3)
+    assert got(spark.createDataFrame(rows, SCHEMA).repartition(4)) == brute(rows)
+    assert labels == ["repeat-blocks", "repeat-shared", "repeat-answers"]
+
+
+def test_a_block_of_documents_is_one_packed_row():
+    docs = [(5, b"abc" * 1000), (None, b""), (R.LAST, "naïve".encode()), (0, b"x"), (-3, b"y" * 10)]
+    row = dict(zip(R.NAMES, R.packed_docs(7, docs), strict=True))
+    assert R.unpacked_docs([row]) == docs and len(row["a"]) < 200
+    row = dict(zip(R.NAMES, R.packed_docs(7, [(None, b"")]), strict=True))
+    assert R.unpacked_docs([row]) == [(None, b"")]
