@@ -13,9 +13,11 @@ every byte fifty times, so the suffixes that can matter are found first:
 2. Consecutive windows with the same shared fingerprint form a segment of at
    most 2 * WIDTH - GRAM bytes.  Blocks send their distinct segments, packed,
    with the smallest doc_id that holds each, to the owner of the fingerprint's range.
-   A fingerprint in more than ``HOT_BLOCKS`` blocks sends its windows one by one
-   instead, to the owner of the window's own hash: a very common passage then
-   spreads over all owners.
+   A fingerprint in more than ``HOT_BLOCKS`` blocks that together hold more than
+   ``HOT_SEGMENTS`` segments of it sends its windows one by one instead, to the owner
+   of the window's own hash: a gram of very many contexts then spreads over all owners.
+   That costs seventeen times the text, so a common passage alone does not do it: each
+   block sends its segments once.
 3. An owner lays segments of a range of fingerprints end to end, sorts the suffixes in two stages
    (``suffixes.py``), and takes neighbours whose common prefix reaches WIDTH as
    one group; the smallest doc_id of a group decides which windows repeat.
@@ -54,6 +56,8 @@ BLOCK_BYTES = 3 << 20
 #: Windows of a text whose fingerprints are computed at once.
 STRETCH = 1 << 20
 HOT_BLOCKS = 200
+#: Segments of one fingerprint, summed over blocks, that an owner may meet: 1.3 MB of text.
+HOT_SEGMENTS = 20_000
 #: Stands for a null doc_id: such rows come after all others.
 LAST = (1 << 63) - 1
 #: Never part of UTF-8: ends a segment.
@@ -95,6 +99,13 @@ def _windows(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mixed(key[first] >> _U(16)) >> _U(16), first, np.diff(np.append(first, n))
 
 
+def contexts(text: bytes, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash for each run's length and the bytes at both of its ends: different only for different segments."""
+    t = np.frombuffer(text, np.uint8)
+    ends = [np.ascontiguousarray(t[at[:, None] + np.arange(8)]).view(np.uint64)[:, 0] for at in (first, first + n + WIDTH - 9)] if len(first) else [np.empty(0, np.uint64)] * 2
+    return mixed(ends[0] * _C1 + mixed(ends[1] * _C2 + n.astype(np.uint64)))
+
+
 def packed(data: bytes, level: int = 3) -> bytes:
     return pa.Codec("zstd", compression_level=level).compress(data, asbytes=True)
 
@@ -143,7 +154,7 @@ def unpacked_docs(rows: list[dict]) -> list[tuple]:
 def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 1, by block: one row of documents, and one of distinct fingerprints."""
     blk = TaskContext.get().partitionId() << 32
-    size, prints, owners, docs = 0, [], [], []
+    size, prints, owners, about, docs = 0, [], [], [], []
 
     def summary() -> tuple:
         p = np.concatenate(prints)
@@ -153,16 +164,24 @@ def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.empty(0, np.int64)
         last = np.append(first[1:], len(p)) - 1
         several = owner[first] != owner[last] if len(p) else np.empty(0, bool)
+        # How many different segments the block has of each, as far as a byte holds.
+        context = np.concatenate(about)[np.lexsort((np.concatenate(about), np.concatenate(prints)))]
+        fresh = np.ones(len(p), np.int64)
+        fresh[1:] = (p[1:] != p[:-1]) | (context[1:] != context[:-1])
+        many = np.minimum(np.add.reduceat(fresh, first), 127) if len(p) else np.empty(0, np.int64)
+        told = (2 * many + several).astype(np.uint8)
         steps = np.diff(p[first], prepend=_U(0))
-        return (PRINTS, blk, len(first), None, packed(steps.tobytes()), packed(several.astype(np.uint8).tobytes()), None, None)
+        return (PRINTS, blk, len(first), None, packed(steps.tobytes()), packed(told.tobytes()), None, None)
 
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1)), strict=True):
             if prints and size + len(text) > BLOCK_BYTES:
                 yield table([packed_docs(blk, docs), summary()])
-                blk, size, prints, owners, docs = blk + 1, 0, [], [], []
+                blk, size, prints, owners, about, docs = blk + 1, 0, [], [], [], []
             docs.append((doc_id, text))
-            prints.append(windows(text)[0])
+            fps, first, n = windows(text)
+            prints.append(fps)
+            about.append(contexts(text, first, n))
             owners.append(LAST if doc_id is None else doc_id)
             size += len(text)
     if prints:
@@ -193,12 +212,14 @@ def sliced(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
 
 
 def shared_prints(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    """An owner's answer to each block: 0 unique, 1 shared, 2 in very many blocks."""
+    """An owner's answer to each block: 0 unique, 1 shared, 2 in very many blocks and segments."""
     prints = [np.frombuffer(r["a"], np.uint32) for r in rows]
     every, back, blocks = np.unique(np.concatenate(prints), return_inverse=True, return_counts=True)
+    told = np.frombuffer(b"".join(r["b"] for r in rows), np.uint8)
     several = np.zeros(len(every), bool)
-    several[back[np.frombuffer(b"".join(r["b"] for r in rows), np.uint8) > 0]] = True
-    state = (several | (blocks > 1)).astype(np.uint8) + (blocks > HOT_BLOCKS)
+    several[back[told % 2 > 0]] = True
+    held = np.bincount(back, told // 2, len(every))
+    state = (several | (blocks > 1)).astype(np.uint8) + ((blocks > HOT_BLOCKS) & (held > HOT_SEGMENTS))
     ends = np.cumsum([len(p) for p in prints])
     yield table([(SHARED, r["blk"], r["ord"], None, s.tobytes(), None, None, None) for r, s in zip(rows, np.split(state[back], ends[:-1]), strict=True)])
 

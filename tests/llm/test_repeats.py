@@ -128,3 +128,28 @@ def test_a_block_of_documents_is_one_packed_row():
     assert R.unpacked_docs([row]) == docs and len(row["a"]) < 200
     row = dict(zip(R.NAMES, R.packed_docs(7, [(None, b"")]), strict=True))
     assert R.unpacked_docs([row]) == [(None, b"")]
+
+
+@pytest.mark.parametrize("hot", [0, 3])
+def test_hot_fingerprints_by_their_segments(spark, monkeypatch, hot):
+    monkeypatch.setattr(R, "HOT_BLOCKS", 1)
+    monkeypatch.setattr(R, "HOT_SEGMENTS", hot)
+    monkeypatch.setattr(R, "BLOCK_BYTES", 700)
+    rows = corpus(5)
+    assert got(spark.createDataFrame(rows, SCHEMA).repartition(3)) == brute(rows)
+
+
+def test_a_common_passage_in_one_context_is_not_hot(monkeypatch):
+    """In 300 blocks, one segment each: no reason to send its windows one by one."""
+    p = np.array([3, 9], np.uint32).tobytes()
+    state = lambda many: np.frombuffer(next(R.shared_prints([{"blk": b, "ord": 0, "a": p, "b": bytes([2 * many, 2])} for b in range(300)])).column(4)[0].as_py(), np.uint8).tolist()
+    assert state(1) == [1, 1] and state(100) == [2, 1]
+
+
+def test_contexts_tell_segments_apart():
+    a, b = b"q" * 30 + b"0123456789abcdefghijklmnopqrstuvwxyz" * 3, b"z" * 45 + b"0123456789abcdefghijklmnopqrstuvwxyz" * 3
+    for text in (a, b):
+        fps, first, n = R.windows(text)
+        seen = R.contexts(text, first, n)
+        pieces = [text[i : i + k + R.WIDTH - 1] for i, k in zip(first.tolist(), n.tolist(), strict=True)]
+        assert len(seen) == len(pieces) and len(set(zip(seen.tolist(), pieces, strict=True))) == len(set(pieces))
