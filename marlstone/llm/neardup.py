@@ -7,14 +7,16 @@
    its smallest hash.  Optimal densification fills an empty bin from the first
    occupied bin in a random order of its own, the same for every document.
 3. ``BANDS`` bands of ``ROWS`` bins are hashed into bucket keys.  In a bucket
-   every node is paired with the bucket's smallest node only: a star, so pairs
-   grow with the rows of a bucket, not with their square.
+   every node is paired with one centre only: a star, so pairs grow with the rows
+   of a bucket, not with their square.  The centre is the node that meets most
+   others over all its buckets: of a family that is a text near its middle, the
+   same in most buckets, so a node has few pairs and most of them are links.
 4. Pairs are confirmed on the full sets, and the links contracted to
    components by alternating large and small stars.
 5. A text may be similar to members of a bucket but not to its centre.  Buckets
    that still span components take ``TURNS`` more stars, each around a node drawn
-   by a hash of bucket and star, so the buckets of one family try many centres
-   and pairs stay below the rows of the buckets.
+   by a hash of bucket and star, sooner the more others it meets, so the buckets of
+   one family try several centres and pairs stay below the rows of the buckets.
 6. What no star links is settled exactly, over the nodes of buckets that still
    span components: every pair of sets that reaches the similarity shares a shingle among the
    rarest of either, and its place there bounds how much they can share.  Only
@@ -162,9 +164,22 @@ def bucket_rows(nodes: DataFrame) -> DataFrame:
 
 
 def crowded(buckets: DataFrame) -> DataFrame:
-    """key, node, a (the bucket's smallest node) of the buckets of two nodes or more."""
-    centres = buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a")
-    return buckets.join(centres, "key").select("key", "node", "a")
+    """key, node, others: the buckets of two nodes or more, and how many others each node meets there."""
+    counted = buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), (F.count("*") - 1).alias("others")).where("a < z").select("key", "others")
+    return buckets.join(counted, "key").select("key", "node", "others")
+
+
+def centred(buckets: DataFrame) -> DataFrame:
+    """key, node, a (the bucket's centre, the node that meets most others over all
+    its buckets), weight (how many it meets; 0 for the centre itself)."""
+    met = buckets.join(buckets.groupBy("node").agg(F.sum("others").alias("weight")), "node")
+    centres = met.groupBy("key").agg(F.min(F.struct(-F.col("weight"), "node")).getField("node").alias("a"))
+    return met.join(centres, "key").select("key", "node", "a", F.when(F.col("node") != F.col("a"), F.col("weight")).otherwise(0).alias("weight"))
+
+
+def first_stars(members: DataFrame) -> DataFrame:
+    """a < b: the nodes of each bucket with its centre."""
+    return members.where("node <> a").select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct()
 
 
 def full_sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -187,23 +202,24 @@ def confirmed(pairs: DataFrame, whole: DataFrame, similarity: int) -> DataFrame:
             x, y = (c.to_pylist() for c in batch.columns[2:])
             yield batch.select([0, 1]).filter(pa.array([similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), similarity) for p, q in zip(x, y, strict=True)], pa.bool_()))
 
-    sized = pairs.join(whole.select(F.col("node").alias("a"), F.col("size").alias("na")), "a").join(whole.select(F.col("node").alias("b"), F.col("size").alias("nb")), "b")
-    near = sized.where(100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b")
-    sets = whole.select("node", "hashes")
-    both = near.join(sets.withColumnsRenamed({"node": "a", "hashes": "ha"}), "a").join(sets.withColumnsRenamed({"node": "b", "hashes": "hb"}), "b")
+    of_b = whole.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("hashes").alias("hb"))
+    sized = pairs.join(whole.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("hashes").alias("ha")), "a").join(of_b, "b")
+    both = sized.where(100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
     return stored(both.select("a", "b", "ha", "hb").mapInArrow(check, "a long, b long"), "near-links")
 
 
 def rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, node, root: the bucket rows with their components."""
-    return members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    """The bucket rows with their components (root)."""
+    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def drawn_stars(members: DataFrame, roots: DataFrame, turns: int = TURNS) -> DataFrame:
     """a < b: the nodes of each bucket that spans components with each of ``turns``
-    of its nodes, every one drawn by a hash of its own, where their components differ."""
+    of its nodes, every one drawn by a hash of its own, where their components differ.
+    Where rows have a weight, the number drawn for a node is taken so many times."""
     placed = rooted(members, roots)
-    draws = [F.min(F.struct(F.xxhash64("key", "node", F.lit(turn)).alias("order"), "node", "root")) for turn in range(turns)]
+    weight = F.col("weight") if "weight" in members.columns else F.lit(1)
+    draws = [F.max(F.struct((F.shiftrightunsigned(F.xxhash64("key", "node", F.lit(turn)), 11) * weight.cast("double")).alias("order"), "node", "root")) for turn in range(turns)]
     drawn = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.array(*draws).alias("centres"))
     apart = placed.join(drawn.where("lo < hi").select("key", "centres"), "key").select("node", "root", F.explode("centres").alias("centre")).where(F.col("root") != F.col("centre.root"))
     return apart.select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct()
@@ -307,10 +323,12 @@ def near_dedup(docs: DataFrame, similarity: int = SIMILARITY, row: Column | None
     least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("given").alias("given"))).alias("least")
     sets = stored(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("rid").alias("node"), least), "near-sets")
     nodes = stored(rows.select(F.col("rid").alias("node"), "bands").join(sets.select("node"), "node", "left_semi"), "near-nodes")
-    members = stored(crowded(bucket_rows(nodes)), "near-buckets")
+    buckets = stored(crowded(bucket_rows(nodes)), "near-crowded")
     discard(nodes)
+    members = stored(centred(buckets), "near-buckets")
+    discard(buckets)
     whole = full_sets(rows, members.select("node").distinct())
-    links = confirmed(members.where("a < node").select("a", F.col("node").alias("b")).distinct(), whole, similarity)
+    links = confirmed(first_stars(members), whole, similarity)
     stars = components(links)
     stars = components(joined_up(stars).unionByName(confirmed(drawn_stars(members, stars), whole, similarity)))
     prefixes = rare_prefixes(whole, open_nodes(members, stars), similarity)

@@ -153,3 +153,33 @@ def test_stars_are_told_from_other_shapes(spark):
     assert told((0, 1), (0, 2), (5, 6))
     assert not told((0, 1), (1, 2)) and not told((0, 2), (1, 2)) and not told((0, 1), (0, 2), (1, 2))
     assert N.all_stars(spark.createDataFrame([], "a long, b long"))
+
+
+def edited_family(texts):
+    """Texts of one template of 120 words with one to nine words changed."""
+    rng = random.Random(12)
+    base = [f"t{i}" for i in range(120)]
+    return [(n, " ".join(f"x{n}" if i in places else w for i, w in enumerate(base)), "", "") for n in range(texts) for places in [rng.sample(range(120), rng.randrange(1, 10))]]
+
+
+def test_pairs_of_a_family_are_few_for_each_text(spark, monkeypatch):
+    """Every text of a family meets a few centres, whatever bands it shares with them."""
+    tested, confirmed = [], N.confirmed
+
+    def counted(pairs, whole, similarity):
+        tested.append(pairs.count())
+        return confirmed(pairs, whole, similarity)
+
+    monkeypatch.setattr(N, "confirmed", counted)
+    rows = edited_family(300)
+    assert sorted(map(tuple, N.near_dedup(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()), key=str) == brute(rows)
+    assert sum(tested) < 18 * 300
+
+
+def test_centre_is_the_node_that_meets_most_others(spark):
+    """Not the smallest one; of equals the smallest, and weight 0 where it is the centre."""
+    rows = [("k", 1), ("k", 2), ("k", 3), ("l", 2), ("l", 3), ("l", 4), ("m", 3), ("m", 5), ("n", 6), ("o", 8), ("o", 7)]
+    members = N.centred(N.crowded(spark.createDataFrame([(ord(k), n) for k, n in rows], "key long, node long")))
+    found = {(chr(r.key), r.node): (r.a, r.weight) for r in members.collect()}
+    assert found == {("k", 1): (3, 2), ("k", 2): (3, 4), ("k", 3): (3, 0), ("l", 2): (3, 4), ("l", 3): (3, 0), ("l", 4): (3, 2), ("m", 3): (3, 0), ("m", 5): (3, 1), ("o", 7): (7, 0), ("o", 8): (7, 1)}
+    assert sorted(map(tuple, N.first_stars(members).collect())) == [(1, 3), (2, 3), (3, 4), (3, 5), (7, 8)]
